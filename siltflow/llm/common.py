@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +37,28 @@ def utf8_size(col: str = "text"):
     return F.coalesce(F.octet_length(F.col(col)), F.lit(0)).cast("long")
 
 
+#: Rows of a batch that a worker turns at once.
+ROWS = 1024
+
+
+def map_texts(df: DataFrame, make: Callable[[], Callable[[list], dict]], schema: str, carry: tuple[str, ...] = ("doc_id",), col: str = "text") -> DataFrame:
+    """Columns of df that `carry` names, as they are, and those that make()(values of col) gives; make runs once a task.
+    Batches stay in Arrow, so that null and large ids pass unharmed."""
+    kinds = dict(x.strip().split(" ") for x in schema.split(","))
+    arrow = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32())}
+    types = dict(df.select(*carry).dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = make()
+        for batch in batches:
+            for i in range(0, batch.num_rows, ROWS):
+                part = batch.slice(i, ROWS)
+                got = f(part.column(col).to_pylist())
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carry), *(pa.array(got[c], arrow[k]) for c, k in kinds.items())], [*carry, *kinds])
+
+    return df.select(*carry, col).mapInArrow(run, ", ".join([*(f"{c} {types[c]}" for c in carry), schema]))
+
+
 # ---------------------------------------------------------------- vectorised hashing
 _MUL = 0x9E3779B97F4A7C15
 _INV = pow(_MUL, -1, 2**64)

@@ -8,9 +8,10 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 
+from .common import map_texts
+
 #: Samples of a frame; bytes that are coded at once by a worker (its arrays take some 60 bytes a sample).
 BLOCK, AT_ONCE = 512, 1 << 21
 RATE = 8000
@@ -493,14 +494,11 @@ def write_media(docs: DataFrame, block: int = BLOCK, lpc_order: int = 0) -> Data
     """(doc_id, n_bytes, media): each whole text as a FLAC stream of 8-bit samples, one per payload byte. Null and empty texts
     give 64 zero samples; no shuffle, and a worker holds a batch of texts and AT_ONCE bytes' arrays."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            n = [len(t.encode()) if t else 0 for t in pdf["text"]]
-            for g in _groups(n, AT_ONCE // 8):
-                own = pdf.iloc[g]
-                yield pd.DataFrame({"doc_id": own["doc_id"].array, "n_bytes": n[g], "media": encode([pad(t) for t in own["text"]], block, lpc_order)})
+    def run(texts: list) -> dict:
+        n = [len(t.encode()) if t else 0 for t in texts]
+        return {"n_bytes": n, "media": [m for g in _groups(n, AT_ONCE // 8) for m in encode([pad(t) for t in texts[g]], block, lpc_order)]}
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_bytes long, media binary")
+    return map_texts(docs, lambda: run, "n_bytes long, media binary")
 
 
 def features(pcm: np.ndarray) -> str:
@@ -511,20 +509,16 @@ def features(pcm: np.ndarray) -> str:
 
 def read_media(media: DataFrame) -> DataFrame:
     """Digests and features of the samples read back from (doc_id, n_bytes, media); a broken stream raises FlacError."""
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for g in _groups([len(m) for m in pdf["media"]]):
-                own = pdf.iloc[g]
-                streams = [bytes(m) for m in own["media"]]
-                rows = [
-                    (len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(m), hashlib.sha256(m).hexdigest(), features((np.frombuffer(p, np.uint8) ^ 0x80).view(np.int8)))
-                    for p, m in zip(decode(streams), streams, strict=True)
-                ]
-                out = pd.DataFrame(rows, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-                out.insert(0, "n_bytes", own["n_bytes"].array)
-                out.insert(0, "doc_id", own["doc_id"].array)
-                yield out
-
-    return media.mapInPandas(run, schema)
+
+    def run(streams: list) -> dict:
+        out: dict = {"payload_bytes": [], "payload_sha256": [], "tail_crc32": [], "media_bytes": [len(m) for m in streams], "media_sha256": [hashlib.sha256(m).hexdigest() for m in streams], "feature": []}
+        for g in _groups(out["media_bytes"]):
+            for p in decode(streams[g]):
+                out["payload_bytes"].append(len(p))
+                out["payload_sha256"].append(hashlib.sha256(p).hexdigest())
+                out["tail_crc32"].append(zlib.crc32(p[-64:]))
+                out["feature"].append(features((np.frombuffer(p, np.uint8) ^ 0x80).view(np.int8)))
+        return out
+
+    schema = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    return map_texts(media, lambda: run, schema, ("doc_id", "n_bytes"), "media")

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_texts
+
 #: Most trusted positives, and most unlabelled documents, that a model is fitted to; taken in the order of a hash of doc_id.
 SAMPLE = 5000
 SEED = 29
@@ -138,11 +138,8 @@ def held_out(col: str = "doc_id"):
 def _sample_features(docs: DataFrame, ids: DataFrame) -> np.ndarray:
     """Features of the documents of at most SAMPLE ids."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].array, "x": [featurise(t).tobytes() for t in pdf["text"]]})
-
-    got = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi").mapInPandas(run, "doc_id long, x binary").collect()
+    got = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi")
+    got = map_texts(got, lambda: lambda texts: {"x": [featurise(t).tobytes() for t in texts]}, "x binary").collect()
     got = sorted((r["doc_id"], bytes(r["x"])) for r in got)
     order = np.random.default_rng(SEED).permutation(len(got))
     return np.array([np.frombuffer(got[i][1]) for i in order]).reshape(-1, N_FEATURES)
@@ -165,13 +162,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     gives no rows; columns other than doc_id and text are not read.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                s = model.score(np.stack([featurise(t) for t in pdf["text"]]))
-                yield pd.DataFrame({"doc_id": pdf["doc_id"].array, "held_out": pdf["held_out"].array, "score": s, "predicted": (s >= 0.5).astype(np.int32)})
+    def scores(texts: list) -> dict:
+        x = model.score(np.stack([featurise(t) for t in texts]))
+        return {"score": x, "predicted": (x >= 0.5).astype(np.int32)}
 
-    return docs.select("doc_id", held_out().alias("held_out"), "text").mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int")
+    rows = docs.select("doc_id", held_out().alias("held_out"), "text")
+    return map_texts(rows, lambda: scores, "score double, predicted int", ("doc_id", "held_out"))
 
 
 def keep_good(docs: DataFrame, model: Model) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siltflow.llm import flac, mixing, quality, sharding, tokens, topk
+from siltflow.llm import flac, jaccard, mixing, quality, sharding, tokens, topk
 from siltflow.llm.common import table
 
 #: The folder of public tokenizer files, if not that of the installed module.
@@ -46,11 +46,15 @@ def op8_best_fit_shards(spark, sf_dir):
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op9_prefix_tree_join(spark, sf_dir):
+    return jaccard.classes(table(spark, sf_dir, "documents"))
+
+
 def op10_scheduled_mix(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pu_quality, op3_flac_media, op4_chunked_bpe, op5_prefix_counts, op6_histogram_topk, op8_best_fit_shards, op10_scheduled_mix)}
+QUERIES = {f.__name__: f for f in (op1_pu_quality, op3_flac_media, op4_chunked_bpe, op5_prefix_counts, op6_histogram_topk, op8_best_fit_shards, op9_prefix_tree_join, op10_scheduled_mix)}
 
 ORACLE = {
     "op6_histogram_topk": """
@@ -63,5 +67,21 @@ WITH ok AS (
   FROM ok q JOIN ok c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
 ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
+""",
+    "op9_prefix_tree_join": """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents
+), g AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS gram
+  FROM w
+), n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM o JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * o >= 85 * (na.n + nb.n - o)),
+r AS (SELECT a AS doc_id, a AS reach FROM l UNION SELECT r.doc_id, l.b FROM r JOIN l ON r.reach = l.a),
+c AS (SELECT doc_id, min(reach) AS root FROM r GROUP BY 1)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(c.root, d.doc_id) AS component_id
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
 """,
 }

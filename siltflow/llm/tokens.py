@@ -10,10 +10,10 @@ import unicodedata
 from collections.abc import Iterator
 from itertools import accumulate
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 
+from .common import map_texts
+
 #: Characters of a chunk, and of the zone that it shares with the next one.
 CHUNK, OVERLAP = 1 << 15, 1 << 10
 #: Strings that a worker remembers; a few hundred bytes each.
@@ -102,22 +102,25 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK,
     Result: doc_id, n_tokens, ids_sha256 (of the decimal ids joined by commas), decoded_sha256, and with keep_ids the ids.
     Null text is the empty text: no ids, the hash of nothing. Repeated rows give equal rows; an empty table none.
     """
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if keep_ids else "")
+    schema = "n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if keep_ids else "")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         enc = encoder(path, pattern)
-        for pdf in batches:
-            rows = []
-            for text in pdf["text"]:
+
+        def run(texts: list) -> dict:
+            out: dict = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "ids": []}
+            for text in texts:
                 ids = encode_chunked(enc, text, chunk, overlap) if text else []
-                raw = enc.decode(ids)
-                row = (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(raw).hexdigest())
-                rows.append((*row, ids) if keep_ids else row)
-            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * keep_ids])
-            out.insert(0, "doc_id", pdf["doc_id"].array)
-            yield out
+                out["n_tokens"].append(len(ids))
+                out["ids_sha256"].append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+                out["decoded_sha256"].append(hashlib.sha256(enc.decode(ids)).hexdigest())
+                if keep_ids:
+                    out["ids"].append(ids)
+            return out
+
+        return run
 
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+    return map_texts(docs, make, schema)
 
 
 # ---------------------------------------------------------------- token counts by prefix
@@ -247,11 +250,13 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     `limit` tokens). Null text is the empty text: 0 bytes, 0 tokens. Repeated rows give equal rows; an empty table none.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         c = counter(path)
-        for pdf in batches:
-            n = np.fromiter((c.total(t) if t else 0 for t in pdf["text"]), np.int64, len(pdf))
-            size = np.fromiter((len(t.encode()) if t else 0 for t in pdf["text"]), np.int64, len(pdf))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].array, "n_bytes": size, "n_tokens": n, "over_limit": n > limit})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+        def run(texts: list) -> dict:
+            n = [c.total(t) if t else 0 for t in texts]
+            return {"n_bytes": [len(t.encode()) if t else 0 for t in texts], "n_tokens": n, "over_limit": [x > limit for x in n]}
+
+        return run
+
+    return map_texts(docs, make, "n_bytes long, n_tokens long, over_limit boolean")
