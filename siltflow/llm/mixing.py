@@ -70,7 +70,7 @@ def schedule(goal: DataFrame, total: int, block: int = BLOCK) -> DataFrame:
     return hit.withColumn("r", rank).join(per.select("sid", "chunk", "base"), ["sid", "chunk"]).select("sid", "slot", (F.col("base") + F.col("r")).alias("rank"))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, block: int = BLOCK, seed: int = 17) -> DataFrame:
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, block: int = BLOCK, seed: int = 17, keep_hash: bool = False) -> DataFrame:
     """How many words of each document the mix takes.
 
     Each source's documents stand in the order of a seeded hash, its shuffled word stream runs `most` times, and the stream is
@@ -89,6 +89,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST
         F.col("source").alias("source"),
         word_count(F.col("text")).alias("size"),
         F.xxhash64(F.lit(seed), "doc_id", text_or_empty()).alias("h"),
+        F.xxhash64(text_or_empty()).alias("text_hash"),
     )
     base = cut(base.withColumn("h", F.shiftright(F.col("h"), 1) + F.lit(1 << 62)))  # 0 .. 2**63 - 1, in order
     per = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
@@ -104,7 +105,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST
     upto = F.sum("size").over(Window.partitionBy("sid", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))
     placed = rows.withColumn("upto", upto).join(sums.select("sid", "bucket", "base"), ["sid", "bucket"])
     placed = placed.withColumn("row_id", F.monotonically_increasing_id()).withColumn("at", F.col("base") + F.col("upto") - F.col("size"))
-    placed = cut(placed.select("row_id", "doc_id", "source", "sid", "size", "source_size", "target", "at"))
+    placed = cut(placed.select("row_id", "doc_id", "source", "sid", "size", "source_size", "target", "at", "text_hash"))
     slots = schedule(goal.select("sid", "target"), round(total), block)
     # A document's words in each run of the stream, cut at block edges.
     piece = placed.where("size > 0").select("row_id", "sid", "size", F.explode(F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda e: F.col("at") + e * F.col("source_size"))).alias("a"))
@@ -113,4 +114,17 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST
     part = F.least("b", (F.col("rank") + 1) * block) - F.greatest("a", F.col("rank") * block)
     got = piece.withColumn("part", part).join(slots, ["sid", "rank"]).groupBy("row_id").agg(F.sum("part").alias("taken"))
     out = placed.join(got, "row_id", "left")
-    return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), *["text_hash"] * keep_hash)
+
+
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """docs with a row for each time that the mix takes a document, whole where it takes at least half of its words."""
+    key = [F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.xxhash64(text_or_empty()).alias("_k")]
+    same = Window.partitionBy("_d", "_s", "_k")
+    rows = docs.withColumns({"_d": key[0], "_s": key[1], "_k": key[2]}).withColumn("_i", F.row_number().over(same.orderBy(F.lit(1))))
+    taken = mix(docs, **options, keep_hash=True).where("size > 0")
+    times = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
+    t = taken.select(F.col("doc_id").alias("t_d"), F.col("source").alias("t_s"), F.col("text_hash").alias("t_k"), times.alias("_n"))
+    t = t.withColumn("t_i", F.row_number().over(Window.partitionBy("t_d", "t_s", "t_k").orderBy(F.desc("_n")))).where("_n > 0")
+    on = F.col("_d").eqNullSafe(F.col("t_d")) & F.col("_s").eqNullSafe(F.col("t_s")) & (F.col("_k") == F.col("t_k")) & (F.col("_i") == F.col("t_i"))
+    return rows.join(t, on).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)

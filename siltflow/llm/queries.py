@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siltflow.llm import flac, jaccard, mixing, quality, sharding, tokens, topk
+from siltflow.llm import flac, jaccard, mixing, quality, sharding, suffixes, tokens, topk
 from siltflow.llm.common import table
 
 #: The folder of public tokenizer files, if not that of the installed module.
@@ -26,6 +26,10 @@ def op1_pu_quality(spark, sf_dir):
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op2_suffix_dedup(spark, sf_dir):
+    return suffixes.dedup(table(spark, sf_dir, "documents"))
+
+
 def op3_flac_media(spark, sf_dir):
     return flac.read_media(flac.write_media(table(spark, sf_dir, "documents")))
 
@@ -54,7 +58,13 @@ def op10_scheduled_mix(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pu_quality, op3_flac_media, op4_chunked_bpe, op5_prefix_counts, op6_histogram_topk, op8_best_fit_shards, op9_prefix_tree_join, op10_scheduled_mix)}
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_pu_quality, op2_suffix_dedup, op3_flac_media, op4_chunked_bpe, op5_prefix_counts, op6_histogram_topk, op8_best_fit_shards, op9_prefix_tree_join, op10_scheduled_mix, pipeline)}
 
 ORACLE = {
     "op6_histogram_topk": """
