@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from siltflow.plans import reviews  # noqa: F401
+from siltflow.plans import relational, reviews  # noqa: F401
