@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siltflow.llm import flac, jaccard, mixing, quality, sharding, suffixes, tokens, topk
+from siltflow.llm import flac, jaccard, mixing, quality, sharding, suffixes, tokens, topk, transcripts
 from siltflow.llm.common import table
 
 #: The folder of public tokenizer files, if not that of the installed module.
@@ -46,6 +46,10 @@ def op6_histogram_topk(spark, sf_dir):
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op7_viterbi_chat(spark, sf_dir):
+    return transcripts.format_transcripts(transcripts.plain_transcripts(table(spark, sf_dir, "conversations")), "conv_id")
+
+
 def op8_best_fit_shards(spark, sf_dir):
     return sharding.shard(table(spark, sf_dir, "documents"))
 
@@ -64,7 +68,7 @@ def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_pu_quality, op2_suffix_dedup, op3_flac_media, op4_chunked_bpe, op5_prefix_counts, op6_histogram_topk, op8_best_fit_shards, op9_prefix_tree_join, op10_scheduled_mix, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_pu_quality, op2_suffix_dedup, op3_flac_media, op4_chunked_bpe, op5_prefix_counts, op6_histogram_topk, op7_viterbi_chat, op8_best_fit_shards, op9_prefix_tree_join, op10_scheduled_mix, pipeline)}
 
 ORACLE = {
     "op6_histogram_topk": """
