@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from siltflow.plans import mining, relational, reviews  # noqa: F401
+from siltflow.plans import files, mining, relational, reviews, scalars, streams, udfs  # noqa: F401
