@@ -316,7 +316,7 @@ def decode_frames(buf: np.ndarray, at: np.ndarray) -> tuple[list[np.ndarray], np
         pos[j] += 9 + width * order[j]
     rows = np.flatnonzero(fixed | lpc)
     if len(rows):
-        res, pos[rows] = _residuals(win, pos[rows], n[rows], order[rows])
+        res, pos[rows] = _residuals(win, pos[rows], n[rows], order[rows], most)
         for o in range(5):
             own = rows[kind[rows] == 8 + o]
             if len(own):
@@ -333,7 +333,7 @@ def decode_frames(buf: np.ndarray, at: np.ndarray) -> tuple[list[np.ndarray], np
     return [out[: n[j], j] for j in range(f)], end, number
 
 
-def _residuals(win: np.ndarray, pos: np.ndarray, n: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _residuals(win: np.ndarray, pos: np.ndarray, n: np.ndarray, order: np.ndarray, height: int) -> tuple[np.ndarray, np.ndarray]:
     """Rice residuals of many frames in lockstep; [i, j] is sample i of frame j."""
     method, parts = _take(win, pos, 2), _take(win, pos + 2, 4)
     if (method > 1).any():
@@ -341,7 +341,7 @@ def _residuals(win: np.ndarray, pos: np.ndarray, n: np.ndarray, order: np.ndarra
     bits = 4 + method  # of a parameter
     pos, per = pos + 6, n >> parts
     most, f = int(n.max()), len(n)
-    res = np.zeros((most, f), np.int32)
+    res = np.zeros((height, f), np.int32)
     k = np.zeros(f, np.int64)
     raw = np.full(f, -1, np.int64)
     limit = len(win) - 1

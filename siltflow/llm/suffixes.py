@@ -310,7 +310,7 @@ def strip_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     @F.udf("string", useArrow=True)
     def rest(text, found):
-        return without(text.encode(), merged(found)).decode("utf-8", "ignore")
+        return None if found is None else without(text.encode(), merged(found)).decode("utf-8", "ignore")
 
     named = docs.withColumns({"_d": F.coalesce("doc_id", F.lit(0)).cast("long"), "_k": F.xxhash64(text_or_empty(), F.col("doc_id").isNull())})
     s = spans(docs, length).select(F.col("d").alias("_d"), F.col("k").alias("_k"), F.col("spans").alias("_spans"))
