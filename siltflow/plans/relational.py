@@ -196,7 +196,10 @@ def agg_crosstab(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- windows
-_BY_CUST = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+def _by_cust():
+    return Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+
+
 _OVER = "OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)"
 
 
@@ -213,13 +216,13 @@ def win_rank(spark, sf_dir):
 
 @query("win_lag_lead", f"SELECT o_orderkey, lag(o_orderkey) {_OVER} AS prev, lead(o_orderkey, 2, -1) {_OVER} AS next2 FROM orders")
 def win_lag_lead(spark, sf_dir):
-    return load(spark, sf_dir, "orders").select("o_orderkey", F.lag("o_orderkey").over(_BY_CUST).alias("prev"), F.lead("o_orderkey", 2, -1).over(_BY_CUST).alias("next2"))
+    return load(spark, sf_dir, "orders").select("o_orderkey", F.lag("o_orderkey").over(_by_cust()).alias("prev"), F.lead("o_orderkey", 2, -1).over(_by_cust()).alias("next2"))
 
 
 @query("win_running", "SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING), 2) AS total, round(avg(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 4) AS mean3 FROM orders")
 def win_running(spark, sf_dir):
     p = "o_totalprice"
-    return load(spark, sf_dir, "orders").select("o_orderkey", F.round(F.sum(p).over(_BY_CUST.rowsBetween(Window.unboundedPreceding, 0)), 2).alias("total"), F.round(F.avg(p).over(_BY_CUST.rowsBetween(-2, 0)), 4).alias("mean3"))
+    return load(spark, sf_dir, "orders").select("o_orderkey", F.round(F.sum(p).over(_by_cust().rowsBetween(Window.unboundedPreceding, 0)), 2).alias("total"), F.round(F.avg(p).over(_by_cust().rowsBetween(-2, 0)), 4).alias("mean3"))
 
 
 @query("win_range_frame", "SELECT p_partkey, CAST(count(*) OVER (PARTITION BY p_brand ORDER BY p_size RANGE BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS BIGINT) AS near FROM part")
@@ -229,12 +232,12 @@ def win_range_frame(spark, sf_dir):
 
 @query("win_ntile", f"SELECT o_orderkey, CAST(ntile(4) {_OVER} AS INTEGER) AS tile FROM orders")
 def win_ntile(spark, sf_dir):
-    return load(spark, sf_dir, "orders").select("o_orderkey", F.ntile(4).over(_BY_CUST).alias("tile"))
+    return load(spark, sf_dir, "orders").select("o_orderkey", F.ntile(4).over(_by_cust()).alias("tile"))
 
 
 @query("win_first_last", "SELECT o_orderkey, first_value(o_orderkey) OVER w AS f, last_value(o_orderkey) OVER w AS l, nth_value(o_orderkey, 2) OVER w AS s FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)")
 def win_first_last(spark, sf_dir):
-    w = _BY_CUST.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    w = _by_cust().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return load(spark, sf_dir, "orders").select("o_orderkey", F.first("o_orderkey").over(w).alias("f"), F.last("o_orderkey").over(w).alias("l"), F.nth_value("o_orderkey", 2).over(w).alias("s"))
 
 
