@@ -363,12 +363,12 @@ def _pagerank_sql(rounds: int = 6) -> str:
     out = f"{_LINKS}, v AS (SELECT src AS id FROM link UNION SELECT dst FROM link), deg AS (SELECT src, count(*) AS d FROM link GROUP BY 1), p0 AS (SELECT id, CAST(1 AS DOUBLE) AS rank FROM v)"
     for i in range(rounds):
         out += f", p{i + 1} AS (SELECT v.id, 0.15 + 0.85 * coalesce(sum(rank / d), 0) AS rank FROM v LEFT JOIN (link JOIN deg USING (src) JOIN p{i} ON p{i}.id = src) ON dst = v.id GROUP BY v.id)"
-    return f"WITH {out} SELECT id, round(rank, 6) AS rank FROM p{rounds}"
+    return f"WITH {out} SELECT id, round(rank, 9) AS rank FROM p{rounds}"
 
 
 @query("graph_pagerank", _pagerank_sql())
 def graph_pagerank(spark, sf_dir):
-    return graph.pagerank(_links(spark, sf_dir), 6).select("id", F.round("rank", 6).alias("rank"))
+    return graph.pagerank(_links(spark, sf_dir), 6).select("id", F.round("rank", 9).alias("rank"))
 
 
 @query("graph_tc", f"WITH RECURSIVE {_LINKS}, tc AS (SELECT src, dst FROM link UNION SELECT tc.src, link.dst FROM tc JOIN link ON tc.dst = link.src) SELECT src, dst FROM tc")
@@ -382,10 +382,10 @@ def graph_sssp(spark, sf_dir):
     return graph.shortest_paths(e, e.agg(F.min("src")).first()[0], 30)
 
 
-@query("graph_older_neighbours", f"WITH {_EDGES} SELECT b.dst AS id, CAST(count(*) AS BIGINT) AS n, round(avg(x.c_acctbal), 4) AS mean FROM both_ways b JOIN customer x ON x.c_custkey = b.src JOIN customer y ON y.c_custkey = b.dst WHERE x.c_acctbal > y.c_acctbal GROUP BY 1")
+@query("graph_older_neighbours", f"WITH {_EDGES} SELECT b.dst AS id, CAST(count(*) AS BIGINT) AS n, round(avg(x.c_acctbal), 7) AS mean FROM both_ways b JOIN customer x ON x.c_custkey = b.src JOIN customer y ON y.c_custkey = b.dst WHERE x.c_acctbal > y.c_acctbal GROUP BY 1")
 def graph_older_neighbours(spark, sf_dir):
     v = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("value"))
-    return graph.older_neighbours(_edges(spark, sf_dir), v).select("id", "n", F.round("mean", 4).alias("mean"))
+    return graph.older_neighbours(_edges(spark, sf_dir), v).select("id", "n", F.round("mean", 7).alias("mean"))
 
 
 @query("betweenness", None)
