@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, gram_hash, text_or_empty
+from .common import gram_hash, stored, text_or_empty
 
 #: Bytes of a repeated string, and of the strings that anchor it.
 LENGTH, GRAM = 400, 24
@@ -216,7 +216,7 @@ def _find_anchors(named: DataFrame, length: int) -> DataFrame:
 def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(d, k, spans) of the texts that hold repeated strings; spans are [start, end) of bytes, unmerged."""
     named = _named(docs)
-    found = cut(_find_anchors(named, length))
+    found = stored(_find_anchors(named, length))
     shared = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     live = found.join(shared, "h").groupBy("d", "k").agg(F.collect_set(F.struct("h", "a", "b", "q")).alias("at"))
 
@@ -249,7 +249,8 @@ def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names)
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cutout = named.select("d", "k", "text").join(live, ["d", "k"]).mapInArrow(fragments, "h long, d long, k long, a long, q long, n long, bytes binary")
+    # all columns of named go through this shuffle, so that the join which dedup() makes later reuses it
+    cutout = named.join(live, ["d", "k"]).mapInArrow(fragments, "h long, d long, k long, a long, q long, n long, bytes binary")
     # one shard per partition: all that an anchor's hash names is in one
     hits = cutout.repartition(n, "h").mapInArrow(sorted_out, "d long, k long, s long, e long")
     return hits.groupBy("d", "k").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
