@@ -219,3 +219,59 @@ def fn_csv(spark, sf_dir):
 def fn_window_tumbling(spark, sf_dir):
     w = load(spark, sf_dir, "events").groupBy("event_type", F.window(F.col("ts").cast("timestamp"), "1 day").alias("w")).agg(F.count("*").alias("n"))
     return w.select("event_type", F.date_format("w.start", "yyyy-MM-dd").alias("day"), "n")
+
+
+_family("fn_math2", "lineitem", "l_orderkey", {
+    "n": (lambda: c("l_linenumber"), "l_linenumber"),
+    "sh": (lambda: F.round(F.sinh("l_discount"), 6), "round(sinh(l_discount), 6)"),
+    "ch": (lambda: F.round(F.cosh("l_discount"), 6), "round(cosh(l_discount), 6)"),
+    "th": (lambda: F.round(F.tanh("l_discount"), 6), "round(tanh(l_discount), 6)"),
+    "as": (lambda: F.round(F.asin("l_discount"), 6), "round(asin(l_discount), 6)"),
+    "ac": (lambda: F.round(F.acos("l_discount"), 6), "round(acos(l_discount), 6)"),
+    "tn": (lambda: F.round(F.tan("l_discount"), 6), "round(tan(l_discount), 6)"),
+    "cs": (lambda: F.round(F.cos("l_quantity"), 6), "round(cos(l_quantity), 6)"),
+    "hy": (lambda: F.round(F.hypot("l_quantity", "l_linenumber"), 6), "round(sqrt(l_quantity * l_quantity + l_linenumber * l_linenumber), 6)"),
+    "e1": (lambda: F.round(F.expm1("l_tax"), 6), "round(exp(l_tax) - 1, 6)"),
+    "l1": (lambda: F.round(F.log1p("l_tax"), 6), "round(ln(1 + l_tax), 6)"),
+    "br": (lambda: F.bround(c("l_linenumber") / 2, 0), "round_even(l_linenumber / 2, 0)"),
+    "pm": (lambda: F.pmod(c("l_linenumber") - 4, F.lit(3)), "((l_linenumber - 4) % 3 + 3) % 3"),
+    "wb": (lambda: F.width_bucket("l_quantity", F.lit(0.0), F.lit(50.0), F.lit(5)), "CAST(least(floor(l_quantity / 10) + 1, 6) AS BIGINT)"),
+})
+_family("fn_string2", "part", "p_partkey", {
+    "left": (lambda: F.left("p_name", F.lit(3)), "left(p_name, 3)"),
+    "right": (lambda: F.right("p_name", F.lit(3)), "right(p_name, 3)"),
+    "pre": (lambda: F.substring_index("p_name", " ", 1), "split_part(p_name, ' ', 1)"),
+    "loc": (lambda: F.locate("a", "p_name", 2), "CAST(CASE WHEN instr(substr(p_name, 2), 'a') = 0 THEN 0 ELSE instr(substr(p_name, 2), 'a') + 1 END AS INTEGER)"),
+    "ov": (lambda: F.overlay("p_brand", F.lit("XX"), 2, 2), "left(p_brand, 1) || 'XX' || substr(p_brand, 4)"),
+    "fs": (lambda: F.format_string("%05d|%s", "p_size", "p_brand"), "lpad(CAST(p_size AS VARCHAR), 5, '0') || '|' || p_brand"),
+    "fn": (lambda: F.format_number(c("p_size") * 1000, 0), "CAST(p_size AS VARCHAR) || ',000'"),
+    "cv": (lambda: F.conv(c("p_size").cast("string"), 10, 16), "printf('%X', p_size)"),
+    "chr": (lambda: F.char(c("p_size") % 26 + 65), "chr(p_size % 26 + 65)"),
+    "oct": (lambda: F.octet_length("p_name"), "CAST(strlen(p_name) AS INTEGER)"),
+    "btr": (lambda: F.btrim("p_brand", F.lit("B")), "trim(p_brand, 'B')"),
+    "un": (lambda: F.decode(F.unbase64(F.base64(F.encode("p_brand", "UTF-8"))), "UTF-8"), "p_brand"),
+})
+_family("fn_date2", "orders", "o_orderkey", {
+    "mb": (lambda: F.floor(F.months_between("o_orderdate", F.lit("1990-01-01").cast("date"))), "CAST(datediff('month', DATE '1990-01-01', CAST(o_orderdate AS DATE)) AS BIGINT)"),
+    "nd": (lambda: F.next_day("o_orderdate", "Mon"), "CAST(o_orderdate AS DATE) + CAST(CASE WHEN isodow(o_orderdate) = 1 THEN 7 ELSE 8 - isodow(o_orderdate) END AS INTEGER)"),
+    "fu": (lambda: F.from_unixtime(c("o_orderkey") * 3600, "yyyy-MM-dd HH:mm"), "strftime(make_timestamp(o_orderkey * 3600 * 1000000), '%Y-%m-%d %H:%M')"),
+    "md": (lambda: F.make_date(F.year("o_orderdate"), F.lit(2), F.lit(1)), "make_date(year(o_orderdate), 2, 1)"),
+    "ex": (lambda: F.extract(F.lit("WEEK"), "o_orderdate"), "CAST(weekofyear(o_orderdate) AS INTEGER)"),
+    "tz": (lambda: F.date_format(F.from_utc_timestamp(c("o_orderdate").cast("timestamp"), "+02:00"), "HH"), "strftime(o_orderdate + INTERVAL 2 HOUR, '%H')"),
+})
+
+
+@query("fn_engine_only", None)
+def fn_engine_only(spark, sf_dir):
+    """Functions whose values are this engine's own, or vary by run: hashes, sound codes, partition and file names, random numbers."""
+    p = load(spark, sf_dir, "part")
+    return p.select(
+        "p_partkey", F.initcap("p_name").alias("ic"), F.soundex("p_name").alias("sx"), F.crc32(c("p_name").cast("binary")).alias("c32"), F.xxhash64("p_name").alias("xx"), F.hash("p_name").alias("h"),
+        F.spark_partition_id().alias("pid"), F.monotonically_increasing_id().alias("mid"), F.input_file_name().alias("file"), F.rand(7).alias("r"), F.randn(7).alias("rn"), F.shuffle(_arr()).alias("sh"),
+        F.schema_of_json(F.lit('{"a": 1}')).alias("sj"), F.schema_of_csv(F.lit("1,a")).alias("sc"), F.current_date().alias("cd"), F.current_timestamp().alias("ct"), F.signum(F.rint(c("p_retailprice"))).alias("rt"),
+    )
+
+
+@query("fn_json_tuple", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
+def fn_json_tuple(spark, sf_dir):
+    return load(spark, sf_dir, "events").select("event_id", F.json_tuple("props", "k").alias("k"))
