@@ -46,16 +46,41 @@ def utf8_size(col: str = "text"):
     return F.coalesce(F.octet_length(F.col(col)), F.lit(0)).cast("long")
 
 
+#: Partial sums that one task adds.
+FAN_IN = 64
+
+
+def tree_sum(parts: DataFrame, key: str, add: Callable, schema: str) -> DataFrame:
+    """One row per key from rows of partial sums, by add(key, pandas) -> one row of the same schema. Levels of at most about
+    FAN_IN rows a task, so that what a task holds doesn't grow with the number of tasks before it."""
+    names = [x.strip().split(" ")[0] for x in schema.split(",")]
+    parts = cut(parts.select(*names))
+    n = parts.groupBy(key).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    while n > FAN_IN:
+        n = -(-n // FAN_IN)
+        salted = parts.withColumn("_salt", F.pmod(F.xxhash64(*names), F.lit(n)))
+        parts = cut(salted.groupBy(key, "_salt").applyInPandas(add, schema))
+    return parts.groupBy(key).applyInPandas(add, schema)
+
+
 #: Rows of a batch that a worker turns at once.
 ROWS = 1024
 
 
+def small_batches(df: DataFrame) -> None:
+    """Let Arrow batches of texts hold ROWS rows: at the usual ten thousand a batch of long texts fills a worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(df.sparkSession.conf.get(name)) > ROWS:
+        df.sparkSession.conf.set(name, str(ROWS))
+
+
 def map_texts(df: DataFrame, make: Callable[[], Callable[[list], dict]], schema: str, carry: tuple[str, ...] = ("doc_id",), col: str = "text") -> DataFrame:
     """Columns of df that `carry` names, as they are, and those that make()(values of col) gives; make runs once a task.
     Batches stay in Arrow, so that null and large ids pass unharmed."""
     kinds = dict(x.strip().split(" ") for x in schema.split(","))
     arrow = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32())}
     types = dict(df.select(*carry).dtypes)
+    small_batches(df)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()

@@ -11,13 +11,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix64, prefix_hash, span_hash
+from .common import cut, mix64, prefix_hash, small_batches, span_hash, stored, tree_sum
 from .components import components
 
 #: Cells of the frequency sketch that orders the n-grams; one megabyte is broadcast, whatever the corpus.
 CELL_BITS = 18
-#: Postings of a bucket by expectation; members of a posting list of which all pairs are tried at once.
-BUCKET, SMALL = 1_000_000, 8
+#: Postings of a bucket by expectation; members of a posting list whose pairs are listed there and then.
+BUCKET, SMALL = 250_000, 4
+#: Longs of a set's parity bitmap.
+LONGS = 16
+#: Places of a set's prefix from which it is joined to a hub.
+FIRST = 6
 #: Documents that are probed against one hub by one task, of more they are salted.
 HUB = 256
 _SPACE = np.zeros(256, bool)
@@ -55,6 +59,13 @@ def set_key(grams: np.ndarray) -> bytes:
     return hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
 
 
+def parity(grams: np.ndarray) -> np.ndarray:
+    """For each of 64 * LONGS cells whether an odd number of n-grams fall in it. Two sets' bitmaps differ in no more bits than the
+    sets differ in n-grams."""
+    bits = np.bincount((mix64(grams) % np.uint64(64 * LONGS)).astype(np.int64), minlength=64 * LONGS) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
 def needed(na, nb, pct: int):
     """Least size of the intersection at which 100 * intersection >= pct * union."""
     return -(-pct * (na + nb) // (100 + pct))
@@ -98,28 +109,29 @@ def trie_probe(hub: np.ndarray, sets: list[np.ndarray], pct: int, step: int = 64
 def _profile(docs: DataFrame, k: int) -> DataFrame:
     """One pass: per document its set's size and key (kind 0); per task how many n-grams fall in each cell (kind 1)."""
 
-    names = ["kind", "d", "n", "a", "b", "blob"]
+    names = ["kind", "d", "n", "a", "b", "bits", "blob"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(1 << CELL_BITS, np.int64)
         for batch in batches:
-            n, keys = [], []
+            n, keys, bits = [], [], []
             for t in batch.column("text").to_pylist():
                 g = gram_set(t, k)
                 np.add.at(cells, (g >> np.uint64(64 - CELL_BITS)).astype(np.int64), 1)
                 n.append(len(g))
                 keys.append(set_key(g))
+                bits.append(parity(g))
             x = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
             none = pa.nulls(len(n), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), batch.column("d"), pa.array(n, pa.int64()), pa.array(x[:, 0]), pa.array(x[:, 1]), none], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), batch.column("d"), pa.array(n, pa.int64()), pa.array(x[:, 0]), pa.array(x[:, 1]), pa.array(bits, pa.list_(pa.int64())), none], names)
         for part in range(16):
             own = cells[part << (CELL_BITS - 4) : (part + 1) << (CELL_BITS - 4)]
             at = np.flatnonzero(own)
             if len(at):
                 blob = at.astype(np.uint32).tobytes() + own[at].tobytes()
-                yield pa.RecordBatch.from_pydict({"kind": pa.array([1], pa.int32()), "d": [part], "n": [len(at)], "a": [0], "b": [0], "blob": [blob]})
+                yield pa.RecordBatch.from_pydict({"kind": pa.array([1], pa.int32()), "d": [part], "n": [len(at)], "a": [0], "b": [0], "bits": pa.array([None], pa.list_(pa.int64())), "blob": [blob]})
 
-    return docs.mapInArrow(run, "kind int, d long, n long, a long, b long, blob binary")
+    return docs.mapInArrow(run, "kind int, d long, n long, a long, b long, bits array<long>, blob binary")
 
 
 def _cell_ranks(profile: DataFrame) -> np.ndarray:
@@ -129,13 +141,14 @@ def _cell_ranks(profile: DataFrame) -> np.ndarray:
         total = np.zeros(1 << (CELL_BITS - 4), np.int64)
         for n, blob in zip(pdf["n"], pdf["blob"], strict=True):
             total[np.frombuffer(blob, np.uint32, n)] += np.frombuffer(blob, np.int64, n, 4 * n)
-        return pd.DataFrame({"d": [key[0]], "blob": [total.tobytes()]})
+        at = np.flatnonzero(total)
+        return pd.DataFrame({"d": [key[0]], "n": [len(at)], "blob": [at.astype(np.uint32).tobytes() + total[at].tobytes()]})
 
-    # each task sent at most 16 rows; 16 rows of 128 KB come back
-    got = profile.where("kind = 1").select("d", "n", "blob").groupBy("d").applyInPandas(added, "d long, blob binary").collect()
+    # each task sent at most 16 rows; 16 rows of at most 196 KB come back
+    got = tree_sum(profile.where("kind = 1"), "d", added, "d long, n long, blob binary").collect()
     cells = np.zeros((16, 1 << (CELL_BITS - 4)), np.int64)
     for r in got:
-        cells[r["d"]] = np.frombuffer(r["blob"], np.int64)
+        cells[r["d"], np.frombuffer(r["blob"], np.uint32, r["n"])] = np.frombuffer(r["blob"], np.int64, r["n"], 4 * r["n"])
     rank = np.empty(1 << CELL_BITS, np.uint64)
     rank[np.argsort(cells.ravel(), kind="stable")] = np.arange(1 << CELL_BITS, dtype=np.uint64)
     return rank
@@ -169,7 +182,7 @@ def _postings(docs: DataFrame, k: int, pct: int, rank: np.ndarray, buckets: int)
                 x["prev"][0], x["prev"][1:] = 0, mix64(t[:-1]) >> np.uint64(32)
                 held.append(x)
                 size += len(x)
-                if size > 2_000_000:
+                if size > 500_000:
                     yield flush()
                     held, size = [], 0
         if held:
@@ -187,40 +200,37 @@ def _admits(a: np.ndarray, b: np.ndarray, pct: int) -> np.ndarray:
 
 
 def _candidates(key: tuple, pdf: pd.DataFrame, pct: int) -> pd.DataFrame:
-    """Pairs to try (kind 0) and the postings of longer lists (kind 1) of a bucket."""
+    """Of a bucket: pairs to try first (kind 0), the postings of longer lists (kind 1), all pairs of short lists (kind 2)."""
     x = np.frombuffer(b"".join(pdf["blob"]), _POSTING)
     x = x[np.lexsort((x["n"], x["key"], x["token"]))]
     new = np.r_[True, (x["token"][1:] != x["token"][:-1]) | (x["key"][1:] != x["key"][:-1]) | (x["n"][1:] != x["n"][:-1])]
     x = x[new]  # copies of a set meet here
     first = np.flatnonzero(np.r_[True, x["token"][1:] != x["token"][:-1]])
-    m = np.diff(np.r_[first, len(x)])
-    pairs = []
+    m = np.repeat(np.diff(np.r_[first, len(x)]), np.diff(np.r_[first, len(x)]))
+    x, m = x[m > 1], m[m > 1]
+    # first only a star for each range of sizes, from the first few n-grams of a set
+    size = np.floor(np.log(np.maximum(1, x["n"])) / np.log(1.1)).astype(np.int64)
+    o = np.lexsort((x["key"], size, x["token"]))
+    y, size = x[o], size[o]
+    head = np.r_[True, (y["token"][1:] != y["token"][:-1]) | (size[1:] != size[:-1])][: len(y)]
+    hub = y["key"][np.maximum.accumulate(np.where(head, np.arange(len(y)), 0))]
+    own = ~head & (y["pos"] < FIRST)
+    star = np.stack([hub[own], y["key"][own]], axis=1)
     # all pairs of short lists, by their distance in the list
-    short = np.repeat((m > 1) & (m <= SMALL), m)
-    s = x[short]
+    pairs, s = [np.zeros((0, 2), np.uint64)], x[m <= SMALL]
     for gap in range(1, SMALL):
         a, b = s[:-gap], s[gap:]
         own = a["token"] == b["token"]
         a, b = a[own], b[own]
         own = _admits(a, b, pct)
         pairs.append(np.stack([a["key"][own], b["key"][own]], axis=1))
-    # longer lists: first only a star for each range of sizes, from the first few n-grams of a set
-    long = x[np.repeat(m > SMALL, m)]
-    if len(long):
-        size = np.floor(np.log(long["n"]) / np.log(1.1)).astype(np.int64)
-        o = np.lexsort((long["key"], size, long["token"]))
-        y, size = long[o], size[o]
-        head = np.r_[True, (y["token"][1:] != y["token"][:-1]) | (size[1:] != size[:-1])]
-        hub = y["key"][np.maximum.accumulate(np.where(head, np.arange(len(y)), 0))]
-        own = ~head & (y["pos"] < 6)
-        pairs.append(np.stack([hub[own], y["key"][own]], axis=1))
-    p = np.concatenate(pairs)
-    p = np.unique(np.sort(p.view(np.int64), axis=1), axis=0)
-    out = pd.DataFrame({"kind": 0, "token": 0, "a": p[:, 0], "b": p[:, 1], "n": 0, "pos": 0})
-    if len(long):
-        rest = pd.DataFrame({"kind": 1} | {to: long[col].astype(np.int64) for to, col in (("token", "token"), ("a", "key"), ("b", "prev"), ("n", "n"), ("pos", "pos"))})
-        out = pd.concat([out, rest])
-    return out
+    out = []
+    for kind, p in ((0, star), (2, np.concatenate(pairs))):
+        p = np.unique(np.sort(p.astype(np.int64), axis=1), axis=0)
+        out.append(pd.DataFrame({"kind": kind, "token": 0, "a": p[:, 0], "b": p[:, 1], "n": 0, "pos": 0}))
+    long = x[m > SMALL]
+    out.append(pd.DataFrame({"kind": 1} | {to: long[col].astype(np.int64) for to, col in (("token", "token"), ("a", "key"), ("b", "prev"), ("n", "n"), ("pos", "pos"))}))
+    return pd.concat([p for p in out if len(p)] or out)
 
 
 def _across(pdf: pd.DataFrame, pct: int) -> pd.DataFrame:
@@ -293,40 +303,52 @@ def classes(docs: DataFrame, k: int = 4, pct: int = 85) -> DataFrame:
 
     Sets of n-grams are ordered globally, rare first, by a sketch of all n-grams' frequencies. Every set's prefix is indexed;
     sets that share an n-gram of their prefixes and pass the bounds on size and place are candidates, which one probe per hub
-    tests in a prefix tree of the hub's candidates. Lists of more than SMALL different sets are first only joined to one set
-    each; then pairs of their sets that aren't yet connected are tried, all of them. So a group of many near copies costs its
+    tests in a prefix tree of the hub's candidates. Sets that share an early n-gram are first only joined to one
+    hub each; then all the other pairs of sets that aren't yet connected are tried. So a group of many near copies costs its
     size and not its square, and no link between different components is lost. Sets are compared as 64-bit hashes.
 
     Null, empty and blank texts have no n-grams and stand alone; equal sets are one class. Rows that share a doc_id are one
     document with several texts; a null doc_id takes no part and has a null component. An empty table gives no rows.
     """
+    small_batches(docs)
     own = docs.select(F.col("doc_id").alias("d"), F.col("text").alias("text"))
     profile = cut(_profile(own, k))
-    rows = profile.where("kind = 0").drop("kind", "blob")
+    rows = profile.where("kind = 0").select("d", "n", "a", "b", "bits")
     rank = _cell_ranks(profile)
     known = own.where("d is not null")
     sets = rows.where("n > 0 and d is not null")
-    groups = cut(sets.groupBy("a", "b", "n").agg(F.min("d").alias("rep")))
+    groups = cut(sets.groupBy("a", "b", "n").agg(F.min("d").alias("rep"), F.first("bits").alias("bits")))
     total = groups.agg(F.sum("n")).first()[0] or 0
     buckets = max(16, int(total * (100 - pct) / 100 / BUCKET))
     found = _postings(known, k, pct, rank, buckets).groupBy("bucket").applyInPandas(lambda key, pdf: _candidates(key, pdf, pct), "kind int, token long, a long, b long, n long, pos long")
-    found = cut(found)
-    name = groups.select(F.col("a").alias("key"), "rep")
+    found = stored(found)
+    name = groups.select(F.col("a").alias("key"), "rep", "n", "bits")
 
     def named(pairs: DataFrame) -> DataFrame:
-        """Pairs of set keys as pairs of documents that stand for the sets, the smaller first."""
+        """Pairs of set keys as pairs of documents that stand for the sets, the smaller first, without those whose bitmaps differ
+        in more bits than linked sets can differ in n-grams."""
         p = pairs.select("a", "b").distinct()
-        p = p.join(name.select(F.col("key").alias("a"), F.col("rep").alias("ra")), "a").join(name.select(F.col("key").alias("b"), F.col("rep").alias("rb")), "b")
-        return cut(p.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).where("a < b").distinct())
+        x, y = (name.select(F.col("key").alias(c), F.col("rep").alias(f"r{c}"), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits{c}")) for c in "ab")
+        apart = F.aggregate(F.zip_with("bitsa", "bitsb", lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda t, u: t + u)
+        size = F.col("na") + F.col("nb")
+        least = F.ceil(size * pct / (100 + pct) - F.lit(1e-6))
+        near = apart <= size - 2 * least
+        p = p.join(x, "a").join(y.withColumnRenamed("b", "key"), (F.col("b") == F.col("key")) & (F.col("ra") != F.col("rb")) & near)
+        return cut(p.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
 
     tried = named(found.where("kind = 0"))
     links = cut(_verify(known, tried, k, pct, rank))
     roots = components(links)
-    longer = found.where("kind = 1").select("token", F.col("a").alias("key"), F.col("b").alias("prev"), "n", "pos").join(name, "key")
+    longer = found.where("kind = 1").select("token", F.col("a").alias("key"), F.col("b").alias("prev"), "n", "pos").join(name.select("key", "rep"), "key")
     longer = longer.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("c", F.coalesce("root", "rep"))
     longer = longer.select("token", "key", "prev", "n", "pos", "c", F.pmod(F.xxhash64("token"), F.lit(buckets)).alias("bucket"))
-    more = named(longer.groupBy("bucket").applyInPandas(lambda pdf: _across(pdf, pct), "a long, b long")).join(tried, ["a", "b"], "left_anti")
-    more_links = cut(_verify(known, cut(more), k, pct, rank))
+    more = longer.groupBy("bucket").applyInPandas(lambda pdf: _across(pdf, pct), "a long, b long").unionByName(found.where("kind = 2").select("a", "b"))
+    more = named(more)
+    for side in ("a", "b"):
+        more = more.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"c{side}")), side, "left")
+    apart = F.coalesce("ca", "a") != F.coalesce("cb", "b")
+    more = cut(more.where(apart).select("a", "b").join(tried, ["a", "b"], "left_anti"))
+    more_links = cut(_verify(known, more, k, pct, rank))
     if not more_links.isEmpty():
         roots = components(links.unionByName(more_links))
     # documents that share a doc_id hold their sets together
@@ -335,7 +357,7 @@ def classes(docs: DataFrame, k: int = 4, pct: int = 85) -> DataFrame:
     if whole is not None:
         out = rows.join(whole, F.col("d") == F.col("node"), "left")
         return out.select(F.col("d").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("root", "d").alias("component_id"))
-    out = rows.join(groups, ["a", "b", "n"], "left").join(roots, F.col("rep") == F.col("node"), "left")
+    out = rows.join(groups.drop("bits"), ["a", "b", "n"], "left").join(roots, F.col("rep") == F.col("node"), "left")
     alone = F.when(F.col("d").isNull(), F.lit(None)).otherwise(F.coalesce("root", "rep", "d"))
     return out.select(F.col("d").alias("doc_id"), F.col("n").alias("n_shingles"), alone.cast("long").alias("component_id"))
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gram_hash, stored, text_or_empty
+from .common import gram_hash, prefix_hash, small_batches, span_hash, stored, text_or_empty
 
 #: Bytes of a repeated string, and of the strings that anchor it.
 LENGTH, GRAM = 400, 24
@@ -199,26 +199,50 @@ def _named(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", text.alias("text"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("d"), F.xxhash64(text, F.col("doc_id").isNull()).alias("k"))
 
 
+def _thinned(raw: np.ndarray, length: int) -> tuple[list[np.ndarray], list[tuple[int, int]]]:
+    """The anchors of a text, of anchors with the same fragment only the first two; and the merged spans of the others. As two
+    places hold the fragment, all its strings repeat, so the others need no search. Text that repeats itself has many such."""
+    h, a, b, q = anchors(raw, length)
+    if len(h) < 3 or len(np.unique(h)) > len(h) - 2:
+        return [h, a, b, q], []
+    f = span_hash(prefix_hash(raw), a, b - 1 + length)
+    o = np.argsort(f, kind="stable")
+    third = np.zeros(len(f), bool)
+    third[o[2:]] = (f[o[2:]] == f[o[1:-1]]) & (f[o[2:]] == f[o[:-2]])
+    known = merged([{"s": s, "e": e} for s, e in zip(a[third].tolist(), (b[third] - 1 + length).tolist(), strict=True)])
+    return [x[~third] for x in (h, a, b, q)], known
+
+
 def _find_anchors(named: DataFrame, length: int) -> DataFrame:
+    """(h, d, k, a, b, q) of the anchors; rows without h hold spans [a, b) that are known to repeat."""
+    names = ["h", "d", "k", "a", "b", "q"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                found = [anchors(np.frombuffer(t.encode(), np.uint8), length) for t in part.column("text").to_pylist()]
-                n = [len(x[0]) for x in found]
-                h, a, b, q = (np.concatenate(c) for c in zip(*found, strict=True))
-                d, k = (np.repeat(part.column(c).to_numpy(), n) for c in ("d", "k"))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h.view(np.int64), d, k, a, b, q)], ["h", "d", "k", "a", "b", "q"])
+                both = [_thinned(np.frombuffer(t.encode(), np.uint8), length) for t in part.column("text").to_pylist()]
+                dk = [part.column(c).to_numpy() for c in ("d", "k")]
+                h, a, b, q = (np.concatenate(c) for c in zip(*(x for x, _ in both), strict=True))
+                d, k = (np.repeat(x, [len(y[0]) for y, _ in both]) for x in dk)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h.view(np.int64), d, k, a, b, q)], names)
+                n = [len(x) for _, x in both]
+                if any(n):
+                    at = np.array([x for _, y in both for x in y], np.int64)
+                    none = pa.nulls(len(at), pa.int64())
+                    yield pa.RecordBatch.from_arrays([none, *(pa.array(np.repeat(x, n)) for x in dk), pa.array(at[:, 0]), pa.array(at[:, 1]), none], names)
 
     return named.select("d", "k", "text").mapInArrow(run, "h long, d long, k long, a long, b long, q long")
 
 
 def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(d, k, spans) of the texts that hold repeated strings; spans are [start, end) of bytes, unmerged."""
+    small_batches(docs)
     named = _named(docs)
     found = stored(_find_anchors(named, length))
-    shared = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    live = found.join(shared, "h").groupBy("d", "k").agg(F.collect_set(F.struct("h", "a", "b", "q")).alias("at"))
+    anchored = found.where("h IS NOT NULL")
+    shared = anchored.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    live = anchored.join(shared, "h").groupBy("d", "k").agg(F.collect_set(F.struct("h", "a", "b", "q")).alias("at"))
 
     def fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -253,6 +277,7 @@ def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     cutout = named.join(live, ["d", "k"]).mapInArrow(fragments, "h long, d long, k long, a long, q long, n long, bytes binary")
     # one shard per partition: all that an anchor's hash names is in one
     hits = cutout.repartition(n, "h").mapInArrow(sorted_out, "d long, k long, s long, e long")
+    hits = hits.unionByName(found.where("h IS NULL").select("d", "k", F.col("a").alias("s"), F.col("b").alias("e")))
     return hits.groupBy("d", "k").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
 
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, tree_sum
 
 #: Queries that are scored at once; what is broadcast and what a task holds has this bound, not the number of queries.
 QUERY_BLOCK = 2048
@@ -76,7 +76,7 @@ def _block_topk(cands: DataFrame, qid: np.ndarray, q: np.ndarray, top: float, k:
             total = sum(np.frombuffer(x, np.int64) for x in pdf["hist"])
             return pd.DataFrame({"part": [key[0]], "hist": [total.tobytes()]})
 
-        got = cands.mapInArrow(histograms, "part int, hist binary").groupBy("part").applyInPandas(added, "part int, hist binary").collect()
+        got = tree_sum(cands.mapInArrow(histograms, "part int, hist binary"), "part", added, "part int, hist binary").collect()
         hist = np.concatenate([np.frombuffer(r["hist"], np.int64).reshape(-1, BINS + 2) for r in sorted(got, key=lambda r: r["part"])])
         from_top = np.cumsum(hist[:, ::-1], axis=1)[:, ::-1]  # candidates in this bin or over it
         for i in np.flatnonzero(~done):

@@ -26,6 +26,16 @@ def test_same_as_brute_force(spark, block):
     assert got == brute(rows, 5, 10)
 
 
+def test_sums_in_levels(spark, monkeypatch):
+    from siltflow.llm import common
+
+    monkeypatch.setattr(common, "FAN_IN", 2)
+    r = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in r.normal(size=3)]) for i in range(80)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(9)
+    assert sorted(map(tuple, topk.top_k(df, 3, 20).collect())) == brute(rows, 3, 20)
+
+
 def test_few_candidates_and_empty(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (50, [0.0, -1.0])], "vec_id long, embedding array<float>")
     assert sorted(map(tuple, topk.top_k(df).collect())) == brute([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (50, [0.0, -1.0])], 5, 50)
