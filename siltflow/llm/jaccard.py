@@ -26,7 +26,7 @@ FIRST = 6
 HUB = 256
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
-_POSTING = np.dtype([("token", "<u8"), ("key", "<u8"), ("n", "<u4"), ("pos", "<u4"), ("prev", "<u4")])
+_POSTING = np.dtype([("token", "<u8"), ("key", "<u8"), ("n", "<u4"), ("pos", "<u4"), ("prev", "<u4"), ("u", "<u8"), ("v", "<u8")])
 
 
 def gram_set(text: str | None, k: int) -> np.ndarray:
@@ -156,7 +156,7 @@ def _cell_ranks(profile: DataFrame) -> np.ndarray:
 
 def _postings(docs: DataFrame, k: int, pct: int, rank: np.ndarray, buckets: int) -> DataFrame:
     """(bucket, blob): for each different set of a task and each n-gram of its prefix a posting with the set's key, its size,
-    the n-gram's place and the n-gram before. Two sets that link share an n-gram of their prefixes."""
+    the n-gram's place, the n-gram before and the set's bitmap folded to 128 bits. Two sets that link share an n-gram of their prefixes."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         done, held, size = set(), [], 0
@@ -180,6 +180,7 @@ def _postings(docs: DataFrame, k: int, pct: int, rank: np.ndarray, buckets: int)
                 x = np.empty(len(t), _POSTING)
                 x["token"], x["key"], x["n"], x["pos"] = t, int.from_bytes(key[:8], "little"), n, np.arange(len(t))
                 x["prev"][0], x["prev"][1:] = 0, mix64(t[:-1]) >> np.uint64(32)
+                x["u"], x["v"] = np.bitwise_xor.reduce(parity(g).view(np.uint64).reshape(-1, 2))
                 held.append(x)
                 size += len(x)
                 if size > 500_000:
@@ -191,11 +192,18 @@ def _postings(docs: DataFrame, k: int, pct: int, rank: np.ndarray, buckets: int)
     return docs.select("text").mapInPandas(run, "bucket long, blob binary")
 
 
+def _near(a: np.ndarray, b: np.ndarray, pct: int) -> np.ndarray:
+    """Whether sizes and folded bitmaps allow two sets to link: bitmaps differ in no more bits than the sets in n-grams."""
+    na, nb = a["n"].astype(np.int64), b["n"].astype(np.int64)
+    apart = np.bitwise_count(a["u"] ^ b["u"]).astype(np.int64) + np.bitwise_count(a["v"] ^ b["v"])
+    return (100 * np.minimum(na, nb) >= pct * np.maximum(na, nb)) & (apart <= na + nb - 2 * needed(na, nb, pct))
+
+
 def _admits(a: np.ndarray, b: np.ndarray, pct: int) -> np.ndarray:
     """Whether postings of one n-gram can belong to sets that link, and this is the first n-gram that they share."""
     na, nb = a["n"].astype(np.int64), b["n"].astype(np.int64)
     room = np.minimum(na - a["pos"], nb - b["pos"])
-    fits = (100 * np.minimum(na, nb) >= pct * np.maximum(na, nb)) & (room >= needed(na, nb, pct))
+    fits = _near(a, b, pct) & (room >= needed(na, nb, pct))
     return fits & ((a["prev"] != b["prev"]) | (a["pos"] == 0) | (b["pos"] == 0))
 
 
@@ -213,9 +221,9 @@ def _candidates(key: tuple, pdf: pd.DataFrame, pct: int) -> pd.DataFrame:
     o = np.lexsort((x["key"], size, x["token"]))
     y, size = x[o], size[o]
     head = np.r_[True, (y["token"][1:] != y["token"][:-1]) | (size[1:] != size[:-1])][: len(y)]
-    hub = y["key"][np.maximum.accumulate(np.where(head, np.arange(len(y)), 0))]
-    own = ~head & (y["pos"] < FIRST)
-    star = np.stack([hub[own], y["key"][own]], axis=1)
+    hub = y[np.maximum.accumulate(np.where(head, np.arange(len(y)), 0))]
+    own = ~head & (y["pos"] < FIRST) & _near(hub, y, pct)
+    star = np.stack([hub["key"][own], y["key"][own]], axis=1)
     # all pairs of short lists, by their distance in the list
     pairs, s = [np.zeros((0, 2), np.uint64)], x[m <= SMALL]
     for gap in range(1, SMALL):
@@ -227,16 +235,16 @@ def _candidates(key: tuple, pdf: pd.DataFrame, pct: int) -> pd.DataFrame:
     out = []
     for kind, p in ((0, star), (2, np.concatenate(pairs))):
         p = np.unique(np.sort(p.astype(np.int64), axis=1), axis=0)
-        out.append(pd.DataFrame({"kind": kind, "token": 0, "a": p[:, 0], "b": p[:, 1], "n": 0, "pos": 0}))
+        out.append(pd.DataFrame({"kind": kind, "token": 0, "a": p[:, 0], "b": p[:, 1], "n": 0, "pos": 0, "u": 0, "v": 0}))
     long = x[m > SMALL]
-    out.append(pd.DataFrame({"kind": 1} | {to: long[col].astype(np.int64) for to, col in (("token", "token"), ("a", "key"), ("b", "prev"), ("n", "n"), ("pos", "pos"))}))
+    out.append(pd.DataFrame({"kind": 1} | {to: long[col].astype(np.int64) for to, col in (("token", "token"), ("a", "key"), ("b", "prev"), ("n", "n"), ("pos", "pos"), ("u", "u"), ("v", "v"))}))
     return pd.concat([p for p in out if len(p)] or out)
 
 
 def _across(pdf: pd.DataFrame, pct: int) -> pd.DataFrame:
     """Pairs of one bucket's longer lists whose sets aren't known to be connected."""
     x = np.empty(len(pdf), [*_POSTING.descr, ("c", "<i8")])
-    for col, src in (("token", "token"), ("key", "key"), ("prev", "prev"), ("n", "n"), ("pos", "pos"), ("c", "c")):
+    for col, src in (("token", "token"), ("key", "key"), ("prev", "prev"), ("n", "n"), ("pos", "pos"), ("u", "u"), ("v", "v"), ("c", "c")):
         x[col] = pdf[src].to_numpy(np.int64)
     x = x[np.lexsort((x["key"], x["n"], x["token"]))]
     first = np.flatnonzero(np.r_[True, x["token"][1:] != x["token"][:-1]])
@@ -320,7 +328,7 @@ def classes(docs: DataFrame, k: int = 4, pct: int = 85) -> DataFrame:
     groups = cut(sets.groupBy("a", "b", "n").agg(F.min("d").alias("rep"), F.first("bits").alias("bits")))
     total = groups.agg(F.sum("n")).first()[0] or 0
     buckets = max(16, int(total * (100 - pct) / 100 / BUCKET))
-    found = _postings(known, k, pct, rank, buckets).groupBy("bucket").applyInPandas(lambda key, pdf: _candidates(key, pdf, pct), "kind int, token long, a long, b long, n long, pos long")
+    found = _postings(known, k, pct, rank, buckets).groupBy("bucket").applyInPandas(lambda key, pdf: _candidates(key, pdf, pct), "kind int, token long, a long, b long, n long, pos long, u long, v long")
     found = stored(found)
     name = groups.select(F.col("a").alias("key"), "rep", "n", "bits")
 
@@ -339,9 +347,9 @@ def classes(docs: DataFrame, k: int = 4, pct: int = 85) -> DataFrame:
     tried = named(found.where("kind = 0"))
     links = cut(_verify(known, tried, k, pct, rank))
     roots = components(links)
-    longer = found.where("kind = 1").select("token", F.col("a").alias("key"), F.col("b").alias("prev"), "n", "pos").join(name.select("key", "rep"), "key")
+    longer = found.where("kind = 1").select("token", F.col("a").alias("key"), F.col("b").alias("prev"), "n", "pos", "u", "v").join(name.select("key", "rep"), "key")
     longer = longer.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("c", F.coalesce("root", "rep"))
-    longer = longer.select("token", "key", "prev", "n", "pos", "c", F.pmod(F.xxhash64("token"), F.lit(buckets)).alias("bucket"))
+    longer = longer.select("token", "key", "prev", "n", "pos", "u", "v", "c", F.pmod(F.xxhash64("token"), F.lit(buckets)).alias("bucket"))
     more = longer.groupBy("bucket").applyInPandas(lambda pdf: _across(pdf, pct), "a long, b long").unionByName(found.where("kind = 2").select("a", "b"))
     more = named(more)
     for side in ("a", "b"):
