@@ -6,7 +6,9 @@ import hashlib
 import heapq
 import pickle
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain, groupby, islice
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -170,9 +172,118 @@ def induce(group: np.ndarray, right: list[bytes], left: list[bytes], tmin: np.nd
     return tuple(np.concatenate(c) if found else np.zeros(0, np.int64) for c in zip(*found, strict=True))
 
 
+#: State of an element of a large group between two steps, and what is kept of it for its result.
+_STATE = np.dtype([("i", "<i8"), ("lcp", "<i4"), ("since", "<i4"), ("tmin", "<i4"), ("tmax", "<i4")])
+_NAME = np.dtype([("d", "<i8"), ("k", "<i8"), ("q", "<i8")])
+
+
+def _records(files: list, size: int) -> Iterator[np.ndarray]:
+    """Blocks of about `size` states from files in order; each file is closed when it is read."""
+    held, n = [], 0
+    for f in files:
+        f.seek(0)
+        while raw := f.read((size - n) * _STATE.itemsize):
+            held.append(np.frombuffer(raw, _STATE))
+            n += len(held[-1])
+            if n >= size:
+                yield np.concatenate(held)
+                held, n = [], 0
+        f.close()
+    if n:
+        yield np.concatenate(held)
+
+
+def induce_large(items: Iterable[tuple], length: int, size: int) -> Iterator[tuple[int, int, int, int]]:
+    """What repeated() gives, for one group of any size in memory for some blocks of `size` elements.
+
+    The steps are those of induce(). The elements' states lie in files in the order of their suffixes; a step reads them once,
+    and deals those that stay by their preceding byte to a file per byte, which is the stable sort. The common prefix of two
+    neighbours in such a file is one more than the least since the last element with that byte. The preceding bytes lie on disk
+    by block and column, so that a step reads one column of each.
+    """
+    names, before, first = tempfile.TemporaryFile(), tempfile.TemporaryFile(), tempfile.TemporaryFile()
+    n, last, items = 0, None, iter(items)
+    while part := list(islice(items, size)):
+        tmin, tmax = (np.array([x[i] for x in part], np.int64) for i in (5, 6))
+        right = np.frombuffer(b"".join(x[1].ljust(length, b"\0") for x in part), np.uint8).reshape(-1, length)
+        lens = length - tmin
+        state = np.zeros(len(part), _STATE)
+        state["i"], state["since"], state["tmin"], state["tmax"] = np.arange(n, n + len(part)), -1, tmin, tmax
+        if last is not None:
+            right, lens = np.r_[last[0], right], np.r_[last[1], lens]
+        for i in range(1, len(right), 4096):
+            same = right[i : i + 4096] == right[i - 1 : min(i + 4096, len(right)) - 1]
+            lcp = np.where(same.all(axis=1), length, same.argmin(axis=1))
+            lcp = np.minimum(lcp, np.minimum(lens[i : i + 4096], lens[i - 1 : min(i + 4096, len(right)) - 1]))
+            at = i - (last is not None)
+            state["lcp"][at : at + len(lcp)] = lcp
+        last = right[-1:].copy(), lens[-1:]
+        first.write(state.tobytes())
+        names.write(np.array([(x[2], x[3], x[4]) for x in part], _NAME).tobytes())
+        left = np.frombuffer(b"".join(x[7].ljust(length, b"\0") for x in part), np.uint8).reshape(-1, length)
+        columns = np.zeros((length, size), np.uint8)
+        columns[:, : len(part)] = left.T
+        before.write(columns.tobytes())
+        n += len(part)
+    for f in (names, before):
+        f.flush()
+    names, before = np.memmap(names, _NAME, "r"), np.memmap(before, np.uint8, "r")
+
+    def named(s: np.ndarray, t2: int) -> Iterator[tuple[int, int, int, int]]:
+        x = names[s["i"]]
+        yield from zip(x["d"].tolist(), x["k"].tolist(), (x["q"] - t2).tolist(), (x["q"] - s["since"] + length).tolist(), strict=True)
+
+    files, t, most = [first], 0, np.iinfo(np.int32).max
+    while files:
+        dealt: dict = {}
+        least = np.full(256, most, np.int32)  # the least common prefix since the last element that was dealt to a byte
+        blocks = _records(files, size)
+        s = next(blocks, None)
+        while s is not None:
+            after = next(blocks, None)
+            lcp = s["lcp"].copy()
+            near = np.maximum(lcp, np.r_[lcp[1:], 0 if after is None else after["lcp"][0]])
+            s = s.copy()
+            hit = (near >= length) & (s["tmin"] <= t)
+            was = s["since"] >= 0
+            off = was & ~hit
+            yield from named(s[off], t - 1)
+            s["since"][off] = -1
+            s["since"][hit & ~was] = t
+            stay = (s["tmax"] > t) & (near + (s["tmax"] - t) >= length)
+            yield from named(s[~stay & (s["since"] >= 0)], t)
+            p = np.flatnonzero(stay)
+            i = s["i"][p]
+            byte = before[(i // size * length + t) * size + i % size]
+            o = np.argsort(byte, kind="stable")
+            p, byte = p[o], byte[o]
+            starts = np.flatnonzero(np.r_[True, byte[1:] != byte[:-1]]) if len(p) else p
+            low = np.full(len(p), most, np.int32)
+            own = np.ones(len(p), bool)
+            own[starts] = False
+            pairs = np.stack([p[np.flatnonzero(own) - 1] + 1, p[own] + 1], axis=1).ravel()
+            if len(pairs):
+                low[own] = np.minimum.reduceat(np.r_[lcp, 0], pairs)[::2]
+            here = np.minimum.accumulate(lcp)
+            low[starts] = np.minimum(least[byte[starts]], here[p[starts]])
+            out = s[p]
+            out["lcp"] = low + 1
+            least = np.minimum(least, here[-1])
+            behind = np.r_[np.minimum.accumulate(lcp[::-1])[::-1], most]
+            for a, b in zip(starts.tolist(), np.r_[starts, len(p)][1:].tolist(), strict=True):
+                c = int(byte[a])
+                least[c] = behind[p[b - 1] + 1]
+                if c not in dealt:
+                    dealt[c] = tempfile.TemporaryFile()
+                    out["lcp"][a] = 0
+                dealt[c].write(out[a:b].tobytes())
+            s = after
+        files, t = [dealt[c] for c in sorted(dealt)], t + 1
+
+
 def repeated(items: Iterator[tuple], length: int = LENGTH, together: int = TOGETHER) -> Iterator[tuple[int, int, int, int]]:
     """(d, k, start, end) of repeated bytes, from (h, right, d, k, q, tmin, tmax, left) in order; whole groups of h at a time,
-    as many as make `together` elements."""
+    as many as make `together` elements. A group of so many goes through files alone."""
     block: list[tuple] = []
 
     def done():
@@ -183,11 +294,15 @@ def repeated(items: Iterator[tuple], length: int = LENGTH, together: int = TOGET
             _, _, d, k, q, *_ = block[i]
             yield d, k, q - t2, q - t1 + length
 
-    for x in items:
-        if len(block) >= together and x[0] != block[-1][0]:
+    for _, group in groupby(items, itemgetter(0)):
+        head = list(islice(group, together))
+        if len(head) == together:
+            yield from induce_large(chain(head, group), length, together)
+            continue
+        block += head
+        if len(block) >= together:
             yield from done()
-            block = []
-        block.append(x)
+            block.clear()
     if block:
         yield from done()
 
@@ -303,8 +418,8 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     Texts are cut at anchors that depend on the bytes around them alone, so that equal strings are anchored alike. Anchors that
     occur once are dropped; the fragments around the others are dealt by the anchor's hash into shards. A shard queues its
     suffixes on disk, in order of the text from the anchor on, and induces the order of the suffixes before the anchors byte by
-    byte with their common prefixes. A shard's memory is bounded by the queue and one block of groups; a group larger than a
-    block goes through files.
+    byte with their common prefixes. A shard's memory is bounded by the queue and two blocks of elements; a group as large as a
+    block goes through files from step to step.
 
     Result: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256. A null text is the empty text; texts
     shorter than `length` bytes lose nothing; rows that are equal are different documents, so they lose all their strings. An

@@ -1,6 +1,7 @@
 import collections
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 
@@ -76,3 +77,43 @@ def test_stripped_documents(spark):
     got = {r["doc_id"]: r["text"] for r in S.strip_repeats(df).collect()}
     assert got == {1: "one ", 2: " two", 3: "other", 4: None}
     assert S.dedup(df.limit(0)).count() == 0
+
+
+def fragments(n, length, seed=4):
+    """n fragments around one anchor, in order: copies that differ here and there, as repeated() takes them."""
+    r = random.Random(seed)
+    left, right = (bytes(r.choices(b"abcd", k=length)) for _ in range(2))
+    out = []
+    for i in range(n):
+        x, y = (bytearray(v) for v in (left, right))
+        for v in (x, y):
+            if r.random() < 0.7:
+                v[r.randrange(length)] = r.choice(b"abcdxyz")
+        tmax = r.randrange(length)
+        tmin = r.randrange(tmax + 1)
+        out.append((7, bytes(y[: length - tmin]), i, -i, 1000 + i, tmin, tmax, bytes(x[:tmax])))
+    return sorted(out)
+
+
+def test_a_large_group_gives_what_memory_gives():
+    for length, n in ((40, 900), (60, 350)):
+        items = fragments(n, length)
+        want = sorted(S.repeated(iter(items), length, n + 1))
+        assert len(want) > n // 3
+        for together in (1, 7, 64, n):
+            assert sorted(S.repeated(iter(items), length, together)) == want
+    both = [*items, *((8, *x[1:]) for x in items[:50]), *((9, *x[1:]) for x in items)]
+    assert sorted(S.repeated(iter(both), 60, 100)) == sorted(S.repeated(iter(both), 60, 10**6))
+
+
+def test_memory_of_a_large_group_is_bounded():
+    def peak(n):
+        tracemalloc.start()
+        items = ((7, i.to_bytes(4, "big") + bytes(396), i, i, 1000, 0, 300, bytes([i % 251]) * 300) for i in range(n))
+        for _ in S.repeated(items, 400, 500):
+            pass
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return most
+
+    assert peak(8000) < 1.3 * peak(2000)
