@@ -89,12 +89,13 @@ def pagerank(links: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataF
     return ranks
 
 
-def shortest_paths(edges: DataFrame, source, most: int = 50) -> DataFrame:
-    """(id, distance) in hops from a node, level by level; a level is joined only against the nodes not reached before."""
+def shortest_paths(edges: DataFrame, source, most: int | None = None) -> DataFrame:
+    """(id, distance) in hops from a node, level by level; a level is joined only against the nodes not reached before.
+    Ends when a level is empty or after `most`."""
     e = cut(both_ways(edges))
     seen = cut(nodes(e).where(F.col("id") == source).withColumn("distance", F.lit(0)))
     front, d = seen, 0
-    while d < most and not front.isEmpty():
+    while (most is None or d < most) and not front.isEmpty():
         d += 1
         step = e.join(front.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")).distinct()
         front = cut(step.join(seen, "id", "left_anti").withColumn("distance", F.lit(d)))

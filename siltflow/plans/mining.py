@@ -379,7 +379,7 @@ def graph_tc(spark, sf_dir):
 @query("graph_sssp", f"WITH RECURSIVE {_EDGES}, s AS (SELECT min(id) AS id FROM node), walk(id, d) AS (SELECT id, 0 FROM s UNION SELECT dst, d + 1 FROM walk JOIN both_ways ON id = src WHERE d < 30) SELECT id, CAST(min(d) AS INTEGER) AS distance FROM walk GROUP BY 1")
 def graph_sssp(spark, sf_dir):
     e = _edges(spark, sf_dir)
-    return graph.shortest_paths(e, e.agg(F.min("src")).first()[0], 30)
+    return graph.shortest_paths(e, e.agg(F.min("src")).first()[0])
 
 
 @query("graph_older_neighbours", f"WITH {_EDGES} SELECT b.dst AS id, CAST(count(*) AS BIGINT) AS n, round(avg(x.c_acctbal), 7) AS mean FROM both_ways b JOIN customer x ON x.c_custkey = b.src JOIN customer y ON y.c_custkey = b.dst WHERE x.c_acctbal > y.c_acctbal GROUP BY 1")
@@ -404,7 +404,7 @@ def modularity(spark, sf_dir):
 
 @query("girvan_newman", None)
 def girvan_newman(spark, sf_dir):
-    return graph.girvan_newman(_edges(spark, sf_dir), rounds=1)
+    return graph.girvan_newman(_edges(spark, sf_dir))
 
 
 # ---------------------------------------------------------------- sketches

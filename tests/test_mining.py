@@ -216,3 +216,16 @@ def test_sources(spark, tmp_path):
     assert t.count() == 20 and "Exchange" not in t.groupBy("id").count()._jdf.queryExecution().executedPlan().toString()
     assert rows(files.check_in_totals(spark.createDataFrame([("b", {"x": 2, "y": 3})], "business_id string, time map<string,long>"))) == [("b", 5)]
     assert rows(files.edge_lines(spark.createDataFrame([(1, 2, 3.5)], "src long, dst long, value double"))) == [("('1', '2'), 3.5",)]
+
+
+def test_graph_queries_go_to_the_end(spark, monkeypatch):
+    from siltflow.plans import mining
+
+    chain = [(i, i + 1) for i in range(1, 34)]
+    monkeypatch.setattr(mining, "_edges", lambda *_: edges(spark, chain))
+    assert rows(mining.graph_sssp(spark, "")) == [(i, i - 1) for i in range(1, 35)]
+    # four triangles in a row: the middle link goes first, so that the best split needs a second removal
+    parts = [(a, a + 1, a + 2) for a in (1, 4, 7, 10)]
+    pairs = [e for a, b, c in parts for e in ((a, b), (b, c), (a, c))] + [(3, 4), (6, 7), (9, 10)]
+    monkeypatch.setattr(mining, "_edges", lambda *_: edges(spark, pairs))
+    assert rows(mining.girvan_newman(spark, "")) == [(x, p[0]) for p in parts for x in p]
