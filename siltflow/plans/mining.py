@@ -175,6 +175,11 @@ def _asked(spark, sf_dir):
     return _lines(spark, sf_dir).where("o_orderkey % 100 = 0").select(F.col("o_custkey").alias("user"), F.col("l_partkey").alias("item")).distinct()
 
 
+def _held_out(spark, sf_dir):
+    """All that the training split leaves out."""
+    return _lines(spark, sf_dir).where("o_orderkey % 10 = 0").select(F.col("o_custkey").alias("user"), F.col("l_partkey").alias("item")).distinct()
+
+
 @query("item_pearson", f"WITH {_RATINGS}, pairs AS (SELECT DISTINCT x.i, y.i AS j FROM rating x JOIN rating y ON x.u = y.u AND x.i < y.i WHERE x.i % 20 = 1 AND y.i % 20 = 2), {_SIM} SELECT i, j, round(sim, 4) AS sim FROM sim")
 def item_pearson(spark, sf_dir):
     """Pairs between two classes of items (i % 20 = 1 and j % 20 = 2)."""
@@ -273,7 +278,7 @@ def _gbt(spark, sf_dir):
     zero = dict.fromkeys(_GBT, 0.0)
     uf, itf = user_features(spark, sf_dir), item_features(spark, sf_dir)
     train = recommend.join_features(_ratings(spark, sf_dir), uf, itf, zero)
-    return recommend.boosted_trees(recommend.check_matrix(train, _GBT), recommend.join_features(_asked(spark, sf_dir), uf, itf, zero), _GBT, trees=10)
+    return recommend.boosted_trees(recommend.check_matrix(train, _GBT), recommend.join_features(_held_out(spark, sf_dir), uf, itf, zero), _GBT, trees=100)
 
 
 @query("gbt_predict", None)
@@ -283,12 +288,12 @@ def gbt_predict(spark, sf_dir):
 
 @query("als_predict", None)
 def als_predict(spark, sf_dir):
-    return recommend.factorise(_ratings(spark, sf_dir), _asked(spark, sf_dir))
+    return recommend.factorise(_ratings(spark, sf_dir), _held_out(spark, sf_dir))
 
 
 @query("hybrid_predict", None)
 def hybrid_predict(spark, sf_dir):
-    return recommend.hybrid(recommend.predict(_ratings(spark, sf_dir), _asked(spark, sf_dir), 2), _gbt(spark, sf_dir), 0.1)
+    return recommend.hybrid(recommend.predict(_ratings(spark, sf_dir), _held_out(spark, sf_dir), 2), _gbt(spark, sf_dir), 0.1)
 
 
 # ---------------------------------------------------------------- graphs

@@ -229,3 +229,23 @@ def test_graph_queries_go_to_the_end(spark, monkeypatch):
     pairs = [e for a, b, c in parts for e in ((a, b), (b, c), (a, c))] + [(3, 4), (6, 7), (9, 10)]
     monkeypatch.setattr(mining, "_edges", lambda *_: edges(spark, pairs))
     assert rows(mining.girvan_newman(spark, "")) == [(x, p[0]) for p in parts for x in p]
+
+
+def test_predictions_cover_the_held_out_orders(spark, monkeypatch):
+    from siltflow.plans import mining
+
+    sf = "/root/testdata/sf0.001"
+    held = mining._lines(spark, sf).where("o_orderkey % 10 = 0").select("o_custkey", "l_partkey").distinct()
+    want = {tuple(r) for r in held.collect()}
+    trees = []
+
+    def boosted(train, test, features, **options):
+        trees.append(options["trees"])
+        return test.withColumn("prediction", F.lit(1.0))
+
+    monkeypatch.setattr(mining.recommend, "boosted_trees", boosted)
+    for f in (mining.gbt_predict, mining.hybrid_predict):
+        assert {(r["user"], r["item"]) for r in f(spark, sf).collect()} == want
+    assert trees == [100, 100]
+    known = {r["user"] for r in mining._ratings(spark, sf).select("user").distinct().collect()}, {r["item"] for r in mining._ratings(spark, sf).select("item").distinct().collect()}
+    assert {(r["user"], r["item"]) for r in mining.als_predict(spark, sf).collect()} == {(u, i) for u, i in want if u in known[0] and i in known[1]}
