@@ -42,3 +42,7 @@ def test_entry(spark):
 
     assert e.entry(spark).count() == 10
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_regressors_predict_every_line(spark):
+    assert registry.QUERIES["ml_regress_linear"](spark, SF).count() == spark.read.parquet(f"{SF}/lineitem.parquet").count()
