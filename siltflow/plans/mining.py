@@ -135,7 +135,7 @@ def fpgrowth(spark, sf_dir):
 def prefixspan(spark, sf_dir):
     from pyspark.ml.fpm import PrefixSpan
 
-    e = load(spark, sf_dir, "events").groupBy("user_id").agg(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))), 1, 8), lambda x: F.array(x["event_type"])).alias("sequence"))
+    e = load(spark, sf_dir, "events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))), lambda x: F.array(x["event_type"])).alias("sequence"))
     return PrefixSpan(minSupport=0.3, maxPatternLength=3).findFrequentSequentialPatterns(e.select("sequence"))
 
 

@@ -1,7 +1,7 @@
 """Small fixtures with answers found by hand."""
 
 import math
-from collections import defaultdict, deque
+from collections import Counter, defaultdict, deque
 from itertools import combinations
 
 import pytest
@@ -249,3 +249,17 @@ def test_predictions_cover_the_held_out_orders(spark, monkeypatch):
     assert trees == [100, 100]
     known = {r["user"] for r in mining._ratings(spark, sf).select("user").distinct().collect()}, {r["item"] for r in mining._ratings(spark, sf).select("item").distinct().collect()}
     assert {(r["user"], r["item"]) for r in mining.als_predict(spark, sf).collect()} == {(u, i) for u, i in want if u in known[0] and i in known[1]}
+
+
+def test_sequences_are_mined_whole(spark, monkeypatch):
+    import random
+
+    from siltflow.plans import mining
+
+    r = random.Random(6)
+    users = [[r.choice("aab") for _ in range(9)] + r.choices("bcde", k=r.randrange(6)) for _ in range(12)]
+    events = spark.createDataFrame([(u, i, 100 * u + i, x) for u, s in enumerate(users) for i, x in enumerate(s)], "user_id long, ts long, event_id long, event_type string")
+    monkeypatch.setattr(mining, "load", lambda *_: events)
+    got = {tuple(x[0] for x in r["sequence"]): r["freq"] for r in mining.prefixspan(spark, "").collect()}
+    found = Counter(p for s in users for p in {p for n in (1, 2, 3) for p in combinations(s, n)})
+    assert got == {p: n for p, n in found.items() if n >= math.ceil(0.3 * len(users))}
