@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
@@ -58,13 +59,43 @@ def kmeans(points: DataFrame, k: int, seed: int = 0) -> DataFrame:
     return model.transform(x).select("id", "v", "cluster")
 
 
+def merge_close(clusters: DataFrame, dim: int, factor: float = 2.0) -> tuple[DataFrame, dict[int, int]]:
+    """Clusters with those put together whose centroids are each under factor * sqrt(dim) from the other cluster, until none
+    are, and the names that went with the names they went to. The clusters are a few rows of statistics, merged on the driver."""
+    far = factor * dim**0.5
+    rows = sorted(clusters.select("cluster", "n", "sum", "sumsq").collect())
+    stats = {r["cluster"]: (r["n"], np.array(r["sum"]), np.array(r["sumsq"])) for r in rows}
+
+    def close(a, b) -> bool:
+        (ma, va), (mb, vb) = ((s / n, q / n - (s / n) ** 2) for n, s, q in (a, b))
+        diff, fa, fb = ma - mb, va > 1e-12, vb > 1e-12
+        if (np.abs(diff[~fa & ~fb]) > 1e-6).any():  # neither cluster says how far that is
+            return False
+        return all(np.sqrt((diff[f] ** 2 / v[f]).sum()) < far for f, v in ((fa, va), (fb, vb)))
+
+    into: dict[int, int] = {}
+    again = True
+    while again:
+        again = False
+        for a in sorted(stats):
+            for b in sorted(x for x in stats if x > a) if a in stats else ():
+                if close(stats[a], stats[b]):
+                    stats[a] = tuple(x + y for x, y in zip(stats[a], stats.pop(b), strict=True))
+                    into = {k: a if v == b else v for k, v in into.items()} | {b: a}
+                    again = True
+    if not into:
+        return clusters, into
+    merged = [(c, int(n), s.tolist(), q.tolist()) for c, (n, s, q) in stats.items()]
+    return clusters.sparkSession.createDataFrame(merged, "cluster int, n long, sum array<double>, sumsq array<double>"), into
+
+
 def run(points: DataFrame, k: int, dim: int, rounds: int = 5, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """Cluster (id, v) in chunks, keeping only statistics of settled points. Returns (id, cluster), null for outliers, and the
     report (round, ds_points, cs_clusters, cs_points, rs_points).
 
     Round 1 clusters its chunk with 5k centres, sets points of clusters of one aside and makes k main clusters (DS) of the rest.
-    Later rounds assign points to DS, then to side clusters (CS), then set them aside (RS), and make CS of what RS holds. In the
-    end each CS within the distance of a DS joins it.
+    Later rounds assign points to DS, then to side clusters (CS), then set them aside (RS), and make CS of what RS holds; then CS that
+    lie close to each other are merged. In the end each CS within the distance of a DS joins it.
     """
     spark = points.sparkSession
     chunked = cut(points.withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(rounds)).cast("int")))
@@ -99,6 +130,11 @@ def run(points: DataFrame, k: int, dim: int, rounds: int = 5, seed: int = 0) ->
             members = own.select("id", "cluster")
             cs_members = members if cs_members is None else cs_members.unionByName(members)
             rs = cut(tight.join(big, "cluster", "left_anti").select("id", "v"))
+        if cs is not None:
+            cs, into = merge_close(cs, dim)
+            if into:
+                names = F.broadcast(spark.createDataFrame(list(into.items()), "cluster int, into int"))
+                cs_members = cut(cs_members.join(names, "cluster", "left").select("id", F.coalesce("into", "cluster").alias("cluster")))
         sizes = cs.agg(F.count("*"), F.sum("n")).first() if cs is not None else (0, 0)
         report.append((i, ds.agg(F.sum("n")).first()[0], sizes[0], int(sizes[1] or 0), rs.count()))
     if cs is not None:

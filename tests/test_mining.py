@@ -263,3 +263,18 @@ def test_sequences_are_mined_whole(spark, monkeypatch):
     got = {tuple(x[0] for x in r["sequence"]): r["freq"] for r in mining.prefixspan(spark, "").collect()}
     found = Counter(p for s in users for p in {p for n in (1, 2, 3) for p in combinations(s, n)})
     assert got == {p: n for p, n in found.items() if n >= math.ceil(0.3 * len(users))}
+
+
+def test_run_merges_close_side_clusters(spark, monkeypatch):
+    import random
+
+    r = random.Random(8)
+    ids = spark.range(400).select("id", F.pmod(F.xxhash64("id", F.lit(0)), F.lit(2)).cast("int").alias("chunk")).collect()
+    second = [x["id"] for x in ids if x["chunk"] == 1]
+    pts = {x["id"]: [r.gauss(20 * (x["id"] % 2), 1), r.gauss(0, 1)] for x in ids}
+    pts |= {i: [r.gauss(800, 3), r.gauss(800, 3)] for i in second[:80]}
+    split = F.when(F.col("v")[0] > 500, 10 + F.col("id") % 2).otherwise((F.col("v")[0] > 10).cast("long")).cast("int")
+    monkeypatch.setattr(clustering, "kmeans", lambda points, k, seed=0: points.withColumn("cluster", split))  # halves the outliers
+    out, report = clustering.run(spark.createDataFrame(list(pts.items()), "id long, v array<double>"), 2, 2, rounds=2)
+    assert [(x["cs_clusters"], x["cs_points"]) for x in report.orderBy("round").collect()] == [(0, 0), (1, 80)]
+    assert {x["id"]: x["cluster"] for x in out.where("cluster LIKE 'c%'").collect()} == dict.fromkeys(second[:80], "c2010")
