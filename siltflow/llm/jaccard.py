@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, mix64, prefix_hash, small_batches, span_hash, stored, tree_sum
@@ -20,13 +20,15 @@ CELL_BITS = 18
 BUCKET, SMALL = 250_000, 4
 #: Longs of a set's parity bitmap.
 LONGS = 16
-#: Places of a set's prefix from which it is joined to a hub.
-FIRST = 6
+#: Members of a posting list and size class that may be hubs there; hubs that a set is tried with first.
+PIVOTS, HUBS = 8, 2
+#: Members of a posting list that are compared in one task.
+TOGETHER = 4096
 #: Documents that are probed against one hub by one task, of more they are salted.
 HUB = 256
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
-_POSTING = np.dtype([("token", "<u8"), ("key", "<u8"), ("n", "<u4"), ("pos", "<u4"), ("prev", "<u4"), ("u", "<u8"), ("v", "<u8")])
+_POSTING = np.dtype([("token", "<u8"), ("key", "<u8"), ("n", "<u4"), ("pos", "<u4"), ("prev", "<u8"), ("u", "<u8"), ("v", "<u8")])
 
 
 def gram_set(text: str | None, k: int) -> np.ndarray:
@@ -179,7 +181,7 @@ def _postings(docs: DataFrame, k: int, pct: int, rank: np.ndarray, buckets: int)
                 t = ordered(g, rank)[: n + (-pct * n // 100) + 1]
                 x = np.empty(len(t), _POSTING)
                 x["token"], x["key"], x["n"], x["pos"] = t, int.from_bytes(key[:8], "little"), n, np.arange(len(t))
-                x["prev"][0], x["prev"][1:] = 0, mix64(t[:-1]) >> np.uint64(32)
+                x["prev"][0], x["prev"][1:] = 0, t[:-1]
                 x["u"], x["v"] = np.bitwise_xor.reduce(parity(g).view(np.uint64).reshape(-1, 2))
                 held.append(x)
                 size += len(x)
@@ -192,11 +194,15 @@ def _postings(docs: DataFrame, k: int, pct: int, rank: np.ndarray, buckets: int)
     return docs.select("text").mapInPandas(run, "bucket long, blob binary")
 
 
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bits in which the folded bitmaps differ."""
+    return np.bitwise_count(a["u"] ^ b["u"]).astype(np.int64) + np.bitwise_count(a["v"] ^ b["v"])
+
+
 def _near(a: np.ndarray, b: np.ndarray, pct: int) -> np.ndarray:
     """Whether sizes and folded bitmaps allow two sets to link: bitmaps differ in no more bits than the sets in n-grams."""
     na, nb = a["n"].astype(np.int64), b["n"].astype(np.int64)
-    apart = np.bitwise_count(a["u"] ^ b["u"]).astype(np.int64) + np.bitwise_count(a["v"] ^ b["v"])
-    return (100 * np.minimum(na, nb) >= pct * np.maximum(na, nb)) & (apart <= na + nb - 2 * needed(na, nb, pct))
+    return (100 * np.minimum(na, nb) >= pct * np.maximum(na, nb)) & (_apart(a, b) <= na + nb - 2 * needed(na, nb, pct))
 
 
 def _admits(a: np.ndarray, b: np.ndarray, pct: int) -> np.ndarray:
@@ -207,6 +213,30 @@ def _admits(a: np.ndarray, b: np.ndarray, pct: int) -> np.ndarray:
     return fits & ((a["prev"] != b["prev"]) | (a["pos"] == 0) | (b["pos"] == 0))
 
 
+def _stars(x: np.ndarray, pct: int) -> pd.DataFrame:
+    """(a, b, n): for each posting of a list that one of the list's first PIVOTS sets of like size may link with, the one whose
+    bitmap is nearest; n is the number of lists that propose the pair. Sets come in the order of their keys in any list, so
+    that lists of like sets have the same pivots."""
+    size = np.floor(np.log(np.maximum(1, x["n"])) / np.log(1.1)).astype(np.int64)
+    o = np.lexsort((x["key"], size, x["token"]))
+    y, size = x[o], size[o]
+    head = np.flatnonzero(np.r_[True, (y["token"][1:] != y["token"][:-1]) | (size[1:] != size[:-1])][: len(y)])
+    first = np.repeat(head, np.diff(np.r_[head, len(y)]))
+    place = np.arange(len(y)) - first
+    least, hub = np.full(len(y), np.iinfo(np.int64).max), np.full(len(y), -1)
+    for p in range(PIVOTS):
+        i = np.flatnonzero(place > p)
+        a, b = y[first[i] + p], y[i]
+        d = _apart(a, b)
+        better = (d < least[i]) & _near(a, b, pct)
+        i = i[better]
+        least[i], hub[i] = d[better], first[i] + p
+    own = np.flatnonzero(hub >= 0)
+    pairs = np.stack([y["key"][hub[own]], y["key"][own]], axis=1).astype(np.int64)
+    pairs, n = np.unique(pairs, axis=0, return_counts=True)
+    return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1], "n": n})
+
+
 def _candidates(key: tuple, pdf: pd.DataFrame, pct: int) -> pd.DataFrame:
     """Of a bucket: pairs to try first (kind 0), the postings of longer lists (kind 1), all pairs of short lists (kind 2)."""
     x = np.frombuffer(b"".join(pdf["blob"]), _POSTING)
@@ -216,14 +246,7 @@ def _candidates(key: tuple, pdf: pd.DataFrame, pct: int) -> pd.DataFrame:
     first = np.flatnonzero(np.r_[True, x["token"][1:] != x["token"][:-1]])
     m = np.repeat(np.diff(np.r_[first, len(x)]), np.diff(np.r_[first, len(x)]))
     x, m = x[m > 1], m[m > 1]
-    # first only a star for each range of sizes, from the first few n-grams of a set
-    size = np.floor(np.log(np.maximum(1, x["n"])) / np.log(1.1)).astype(np.int64)
-    o = np.lexsort((x["key"], size, x["token"]))
-    y, size = x[o], size[o]
-    head = np.r_[True, (y["token"][1:] != y["token"][:-1]) | (size[1:] != size[:-1])][: len(y)]
-    hub = y[np.maximum.accumulate(np.where(head, np.arange(len(y)), 0))]
-    own = ~head & (y["pos"] < FIRST) & _near(hub, y, pct)
-    star = np.stack([hub["key"][own], y["key"][own]], axis=1)
+    out = [_stars(x, pct).assign(kind=0, token=0, pos=0, u=0, v=0, m=0)]
     # all pairs of short lists, by their distance in the list
     pairs, s = [np.zeros((0, 2), np.uint64)], x[m <= SMALL]
     for gap in range(1, SMALL):
@@ -232,23 +255,21 @@ def _candidates(key: tuple, pdf: pd.DataFrame, pct: int) -> pd.DataFrame:
         a, b = a[own], b[own]
         own = _admits(a, b, pct)
         pairs.append(np.stack([a["key"][own], b["key"][own]], axis=1))
-    out = []
-    for kind, p in ((0, star), (2, np.concatenate(pairs))):
-        p = np.unique(np.sort(p.astype(np.int64), axis=1), axis=0)
-        out.append(pd.DataFrame({"kind": kind, "token": 0, "a": p[:, 0], "b": p[:, 1], "n": 0, "pos": 0, "u": 0, "v": 0}))
-    long = x[m > SMALL]
-    out.append(pd.DataFrame({"kind": 1} | {to: long[col].astype(np.int64) for to, col in (("token", "token"), ("a", "key"), ("b", "prev"), ("n", "n"), ("pos", "pos"), ("u", "u"), ("v", "v"))}))
-    return pd.concat([p for p in out if len(p)] or out)
-
-
-def _across(pdf: pd.DataFrame, pct: int) -> pd.DataFrame:
-    """Pairs of one bucket's longer lists whose sets aren't known to be connected."""
-    x = np.empty(len(pdf), [*_POSTING.descr, ("c", "<i8")])
-    for col, src in (("token", "token"), ("key", "key"), ("prev", "prev"), ("n", "n"), ("pos", "pos"), ("u", "u"), ("v", "v"), ("c", "c")):
-        x[col] = pdf[src].to_numpy(np.int64)
+    p = np.unique(np.sort(np.concatenate(pairs).astype(np.int64), axis=1), axis=0)
+    out.append(pd.DataFrame({"kind": 2, "token": 0, "a": p[:, 0], "b": p[:, 1], "n": 0, "pos": 0, "u": 0, "v": 0, "m": 0}))
+    long, m = x[m > SMALL], m[m > SMALL]
+    out.append(pd.DataFrame({"kind": 1, "m": m} | {to: long[col].astype(np.int64) for to, col in (("token", "token"), ("a", "key"), ("b", "prev"), ("n", "n"), ("pos", "pos"), ("u", "u"), ("v", "v"))}))
+    return pd.concat([p for p in out if len(p)] or out)[["kind", "token", "a", "b", "n", "pos", "u", "v", "m"]]
+
+
+def _across(key: tuple, pdf: pd.DataFrame, pct: int) -> pd.DataFrame:
+    """Pairs of longer lists whose sets aren't known to be connected; of a list that is dealt in parts, those of two parts."""
+    x = np.empty(len(pdf), [*_POSTING.descr, ("c", "<i8"), ("part", "<i8")])
+    for col in x.dtype.names:
+        x[col] = pdf[col].to_numpy(np.int64)
     x = x[np.lexsort((x["key"], x["n"], x["token"]))]
     first = np.flatnonzero(np.r_[True, x["token"][1:] != x["token"][:-1]])
-    found = [np.zeros((0, 2), np.int64)]
+    found, two = [np.zeros((0, 2), np.int64)], key[1] != key[2]
     for i, j in zip(first, np.r_[first[1:], len(x)], strict=True):
         y = x[i:j]
         if (y["c"] == y["c"][0]).all():
@@ -256,7 +277,7 @@ def _across(pdf: pd.DataFrame, pct: int) -> pd.DataFrame:
         upto = np.searchsorted(y["n"], 100 * y["n"].astype(np.int64) // pct, "right")
         for a in range(len(y)):
             b = y[a + 1 : upto[a]]
-            b = b[b["c"] != y["c"][a]]
+            b = b[(b["c"] != y["c"][a]) & (not two or b["part"] != y["part"][a])]
             if len(b):
                 b = b[_admits(np.broadcast_to(y[a], b.shape), b, pct)]
                 found.append(np.stack([np.full(len(b), y["key"][a]).astype(np.int64), b["key"].astype(np.int64)], axis=1))
@@ -310,10 +331,12 @@ def classes(docs: DataFrame, k: int = 4, pct: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document.
 
     Sets of n-grams are ordered globally, rare first, by a sketch of all n-grams' frequencies. Every set's prefix is indexed;
-    sets that share an n-gram of their prefixes and pass the bounds on size and place are candidates, which one probe per hub
-    tests in a prefix tree of the hub's candidates. Sets that share an early n-gram are first only joined to one
-    hub each; then all the other pairs of sets that aren't yet connected are tried. So a group of many near copies costs its
-    size and not its square, and no link between different components is lost. Sets are compared as 64-bit hashes.
+    sets that share an n-gram of their prefixes and pass the bounds on size, place and bitmap are candidates, which one probe
+    per hub tests in a prefix tree of the hub's candidates. A set is first tried with the HUBS sets alone that most of its
+    posting lists propose; then all the other pairs of sets that aren't yet connected are tried, and those that link are links
+    between the components found before. So a group of many near copies costs about its size and not its square, and no link
+    between different components is lost. A list of more than TOGETHER sets is compared part by part, a task for two parts.
+    Sets are compared as 64-bit hashes.
 
     Null, empty and blank texts have no n-grams and stand alone; equal sets are one class. Rows that share a doc_id are one
     document with several texts; a null doc_id takes no part and has a null component. An empty table gives no rows.
@@ -328,37 +351,43 @@ def classes(docs: DataFrame, k: int = 4, pct: int = 85) -> DataFrame:
     groups = cut(sets.groupBy("a", "b", "n").agg(F.min("d").alias("rep"), F.first("bits").alias("bits")))
     total = groups.agg(F.sum("n")).first()[0] or 0
     buckets = max(16, int(total * (100 - pct) / 100 / BUCKET))
-    found = _postings(known, k, pct, rank, buckets).groupBy("bucket").applyInPandas(lambda key, pdf: _candidates(key, pdf, pct), "kind int, token long, a long, b long, n long, pos long, u long, v long")
-    found = stored(found)
+    schema = "kind int, token long, a long, b long, n long, pos long, u long, v long, m long"
+    found = stored(_postings(known, k, pct, rank, buckets).groupBy("bucket").applyInPandas(lambda key, pdf: _candidates(key, pdf, pct), schema))
     name = groups.select(F.col("a").alias("key"), "rep", "n", "bits")
 
     def named(pairs: DataFrame) -> DataFrame:
         """Pairs of set keys as pairs of documents that stand for the sets, the smaller first, without those whose bitmaps differ
         in more bits than linked sets can differ in n-grams."""
-        p = pairs.select("a", "b").distinct()
         x, y = (name.select(F.col("key").alias(c), F.col("rep").alias(f"r{c}"), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits{c}")) for c in "ab")
         apart = F.aggregate(F.zip_with("bitsa", "bitsb", lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda t, u: t + u)
         size = F.col("na") + F.col("nb")
         least = F.ceil(size * pct / (100 + pct) - F.lit(1e-6))
         near = apart <= size - 2 * least
-        p = p.join(x, "a").join(y.withColumnRenamed("b", "key"), (F.col("b") == F.col("key")) & (F.col("ra") != F.col("rb")) & near)
+        p = pairs.join(x, "a").join(y.withColumnRenamed("b", "key"), (F.col("b") == F.col("key")) & (F.col("ra") != F.col("rb")) & near)
         return cut(p.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
 
-    tried = named(found.where("kind = 0"))
-    links = cut(_verify(known, tried, k, pct, rank))
-    roots = components(links)
-    longer = found.where("kind = 1").select("token", F.col("a").alias("key"), F.col("b").alias("prev"), "n", "pos", "u", "v").join(name.select("key", "rep"), "key")
+    # a set is first tried with the few sets that most of its lists propose
+    proposed = found.where("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    few = Window.partitionBy("b").orderBy(F.desc("n"), "a")
+    tried = named(proposed.withColumn("i", F.row_number().over(few)).where(F.col("i") <= HUBS).select("a", "b"))
+    roots = components(cut(_verify(known, tried, k, pct, rank)))
+    longer = found.where("kind = 1").select("token", F.col("a").alias("key"), F.col("b").alias("prev"), "n", "pos", "u", "v", "m").join(name.select("key", "rep"), "key")
     longer = longer.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("c", F.coalesce("root", "rep"))
-    longer = longer.select("token", "key", "prev", "n", "pos", "u", "v", "c", F.pmod(F.xxhash64("token"), F.lit(buckets)).alias("bucket"))
-    more = longer.groupBy("bucket").applyInPandas(lambda pdf: _across(pdf, pct), "a long, b long").unionByName(found.where("kind = 2").select("a", "b"))
-    more = named(more)
+    parts = F.expr(f"1 + (m - 1) div {TOGETHER}")
+    longer = longer.withColumn("part", F.pmod(F.xxhash64("key"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    longer = longer.select("token", "key", "prev", "n", "pos", "u", "v", "c", "part", F.pmod(F.xxhash64("token"), F.lit(buckets)).alias("bucket"), F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+    more = longer.groupBy("bucket", "i", "j").applyInPandas(lambda key, pdf: _across(key, pdf, pct), "a long, b long").unionByName(found.where("kind = 2").select("a", "b"))
+    more = named(more.distinct())
     for side in ("a", "b"):
         more = more.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"c{side}")), side, "left")
-    apart = F.coalesce("ca", "a") != F.coalesce("cb", "b")
-    more = cut(more.where(apart).select("a", "b").join(tried, ["a", "b"], "left_anti"))
-    more_links = cut(_verify(known, more, k, pct, rank))
+    more = cut(more.withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")}).where("ca <> cb").join(tried, ["a", "b"], "left_anti"))
+    # what links two components is a link between their roots
+    more_links = _verify(known, more.select("a", "b"), k, pct, rank)
+    more_links = cut(more_links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).join(more, ["a", "b"]).select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct())
     if not more_links.isEmpty():
-        roots = components(links.unionByName(more_links))
+        above = components(more_links)
+        nodes = roots.unionByName(more_links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(roots, "node", "left_anti").select("node", F.col("node").alias("root")))
+        roots = cut(nodes.join(above.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root")))
     # documents that share a doc_id hold their sets together
     same = sets.join(groups, ["a", "b", "n"]).select(F.col("rep").alias("a"), F.col("d").alias("b")).where("a <> b")
     whole = components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(same)) if _repeats(sets) else None

@@ -66,10 +66,35 @@ def test_same_as_brute_force(spark):
 def test_small_lists_and_hubs_give_the_same(spark, monkeypatch):
     rows = corpus(60)
     monkeypatch.setattr(J, "HUB", 3)
+    monkeypatch.setattr(J, "TOGETHER", 5)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert sorted((str(r[0]), r[1], r[2]) for r in J.classes(df, 4, 85).collect()) == brute(rows, 4, 85)
 
 
+def test_without_first_tries_nothing_is_lost(spark, monkeypatch):
+    rows = corpus(60)
+    monkeypatch.setattr(J, "PIVOTS", 0)
+    monkeypatch.setattr(J, "SMALL", 2)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted((str(r[0]), r[1], r[2]) for r in J.classes(df, 4, 85).collect()) == brute(rows, 4, 85)
+
+
+def test_links_to_be_joined_grow_with_a_group(spark, monkeypatch):
+    """A group of n near copies, each with an edit of its own, gives components() a few links a copy and not all its pairs."""
+    r = random.Random(8)
+    base = [f"w{i}" for i in r.choices(range(5000), k=120)]
+    rows = []
+    for i in range(300):
+        t = list(base)
+        t[r.randrange(len(t))] = f"own{i}"
+        rows.append((i, " ".join(t)))
+    asked = []
+    monkeypatch.setattr(J, "components", lambda links: asked.append(links.count()) or components(links))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {x["component_id"] for x in J.classes(df, 4, 85).collect()} == {0}
+    assert sum(asked) <= 3 * len(rows)
+
+
 def test_texts_that_share_a_doc_id_are_one_document(spark):
     a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
     df = spark.createDataFrame([(1, a), (2, a), (2, b), (3, b), (4, "else where now then")], "doc_id long, text string")
