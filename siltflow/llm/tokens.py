@@ -7,9 +7,11 @@ import bisect
 import hashlib
 import json
 import unicodedata
-from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
+from functools import cached_property
 from itertools import accumulate
 
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .common import map_texts
@@ -35,10 +37,9 @@ class ChunkEncoder:
         self.enc = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.pattern = regex.compile(pattern)
 
-    def pieces(self, text: str, end: int | None = None) -> list[int]:
-        """The start of each pre-token of text[:end], and the end of the last one."""
-        out = [m.start() for m in self.pattern.finditer(text, 0, len(text) if end is None else end)]
-        return [*out, len(text) if end is None else end]
+    def pieces(self, text: str) -> list[int]:
+        """The start of each pre-token, and the end of the last one."""
+        return [*(m.start() for m in self.pattern.finditer(text, concurrent=True)), len(text)]
 
     def encode(self, text: str) -> list[int]:
         """Token ids of a text that starts and ends at pre-token boundaries."""
@@ -49,55 +50,65 @@ class ChunkEncoder:
         return self.enc.decode_bytes(ids)
 
 
-#: White space to some regular-expression engines and not to others.
-_CONTROL = frozenset("\x1c\x1d\x1e\x1f\x85")
-
-
 def encoder(path: str, pattern: str) -> ChunkEncoder:
     if (path, pattern) not in _loaded:
         _loaded[path, pattern] = ChunkEncoder(path, pattern)
     return _loaded[path, pattern]
 
 
-def stitch(bounds_a: list[int], bounds_b: list[int], lo: int) -> int | None:
-    """First position from lo on where both chunks start a pre-token: from a common start on, a left-to-right match of the
-    same text goes on alike. The last bound of chunk a isn't used, for its last pre-token may be cut short."""
-    usable = set(bounds_b[:-1])
-    return next((p for p in bounds_a[bisect.bisect_left(bounds_a, lo) : -2] if p in usable), None)
+def settled(text: str, p: int) -> bool:
+    """Whether a pre-token ends at p whatever precedes: one ends where white space follows something else, and between a letter,
+    a number and other signs, unless an apostrophe may begin a contraction. Only characters that any version of the character
+    database knows count, so that it doesn't matter which one an engine has."""
+    a, b = text[p - 1], text[p]
+    if a.isspace():
+        return False
+    if b.isspace() and not "\x1c" <= b <= "\x1f":
+        return True
+    old = unicodedata.ucd_3_2_0.category
+    x, y = old(a), old(b)
+    return a != "'" and "Cn" not in (x, y) and (x[0] if x[0] in "LN" else "") != (y[0] if y[0] in "LN" else "") and not b.isspace()
 
 
-def encode_chunked(enc: ChunkEncoder, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
-    """Ids of a text of any length: overlapping chunks are pre-tokenised near their seams only, stitched where their pre-token
-    boundaries meet, and the pieces between the stitches are encoded. Where none meet in the overlap the piece grows on."""
-    if len(text) <= chunk + overlap:
-        return enc.encode(text)
-    out: list[int] = []
-    for a, b in piece_bounds(enc, text, chunk, overlap):
-        out += enc.encode(text[a:b])
+def seams(enc: ChunkEncoder, text: str, chunk: int = CHUNK, overlap: int = OVERLAP, threads: int = 1) -> list[int]:
+    """Places where pieces of the text meet, all of them pre-token boundaries of the whole text.
+
+    Chunks of `chunk` characters and an overlap are pre-tokenised apart, in `threads` threads. A seam is the first place of an
+    overlap where both chunks start a pre-token and which is settled; the end of the earlier chunk isn't used, for its last
+    pre-token may be cut short. Where the chunks don't meet there is no seam, and the piece goes on.
+    """
+    starts = range(0, max(1, len(text) - overlap), chunk)
+
+    def bounds(at: int) -> list[int]:
+        return [at + p for p in enc.pieces(text[at : at + chunk + overlap])]
+
+    if threads > 1 and len(starts) > threads:
+        with ThreadPoolExecutor(threads) as pool:
+            found = list(pool.map(bounds, starts))
+    else:
+        found = list(map(bounds, starts))
+    out = []
+    for a, b, at in zip(found, found[1:], starts[1:], strict=False):
+        usable = set(b[:-1])
+        near = (p for p in a[bisect.bisect_left(a, at) : -2] if p in usable and settled(text, p))
+        out += [p for p in [next(near, None)] if p is not None]
     return out
 
 
-def piece_bounds(enc: ChunkEncoder, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> Iterator[tuple[int, int]]:
-    """Pieces [a, b) of the text with a and b at pre-token boundaries of the whole text."""
-    at, n = 0, len(text)
-    while at < n:
-        nxt = at + chunk
-        cut = None
-        while nxt + overlap < n and cut is None:
-            left, right = text[at : nxt + overlap], text[nxt : nxt + 2 * overlap]
-            # the chunk's own boundaries, which start at a true one, against those of the next chunk, which starts anywhere
-            cut = stitch([p + at for p in enc.pieces(left)], [p + nxt for p in enc.pieces(right)], nxt)
-            nxt += chunk
-        yield at, (n if cut is None else cut)
-        at = n if cut is None else cut
+def encode_chunked(enc: ChunkEncoder, text: str, chunk: int = CHUNK, overlap: int = OVERLAP, threads: int = 1) -> list[int]:
+    """Ids of a text of any length: the pieces between the seams of its overlapping chunks are encoded one by one."""
+    if len(text) <= chunk + overlap:
+        return enc.encode(text)
+    cuts = [0, *seams(enc, text, chunk, overlap, threads), len(text)]
+    return [i for a, b in zip(cuts, cuts[1:], strict=False) for i in enc.encode(text[a:b])]
 
 
 def encode_decode(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP, keep_ids: bool = False) -> DataFrame:
     """Token ids of every whole text and the bytes that they decode to.
 
-    Texts are taken apart into overlapping chunks which are pre-tokenised apart, stitched where their boundaries
-    resynchronise, and encoded piece by piece; decoding concatenates the tokens' bytes. No shuffle: documents are
-    independent, and a worker holds one text, its ids and a chunk's pre-tokens.
+    Texts are taken apart into overlapping chunks which are pre-tokenised apart, in as many threads as the task has cores,
+    stitched where their boundaries resynchronise, and encoded piece by piece; decoding concatenates the tokens' bytes. No
+    shuffle: documents are independent, and a worker holds one text, its ids and its chunks' boundaries.
 
     Result: doc_id, n_tokens, ids_sha256 (of the decimal ids joined by commas), decoded_sha256, and with keep_ids the ids.
     Null text is the empty text: no ids, the hash of nothing. Repeated rows give equal rows; an empty table none.
@@ -106,11 +117,12 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK,
 
     def make():
         enc = encoder(path, pattern)
+        threads = TaskContext.get().cpus() if TaskContext.get() else 1
 
         def run(texts: list) -> dict:
             out: dict = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "ids": []}
             for text in texts:
-                ids = encode_chunked(enc, text, chunk, overlap) if text else []
+                ids = encode_chunked(enc, text, chunk, overlap, threads) if text else []
                 out["n_tokens"].append(len(ids))
                 out["ids_sha256"].append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
                 out["decoded_sha256"].append(hashlib.sha256(enc.decode(ids)).hexdigest())
@@ -127,21 +139,27 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK,
 class PrefixCounter:
     """Exact token counts of a lower-casing BPE vocabulary with word ends, at every prefix of a text.
 
-    The vocabulary's pre-tokens hold no white space, so a text's count is the sum over its words, and a prefix's count is the
-    running sum up to its last whole word plus the count of the word that it cuts.
+    No token holds white space, and special tokens stand alone, so a text's count is the sum over its words and special tokens,
+    and a prefix's count is the running sum up to its last whole word plus the count of the word that it cuts.
     """
 
     def __init__(self, path: str):
         import regex
         import tiktoken
+        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         kinds = [x["type"] for x in spec["normalizer"]["normalizers"]], spec["model"]["type"], spec["model"]["end_of_word_suffix"]
         if kinds != (["NFC", "Replace", "Lowercase"], "BPE", "</w>"):
             raise ValueError(f"not a lower-casing BPE with word ends: {kinds}")
+        #: The library's own normaliser: other versions of the character database lower other letters.
+        self.normal = Tokenizer.from_file(path).normalizer.normalize_str
         self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
-        self.special = regex.compile("|".join(map(regex.escape, sorted((x["content"] for x in spec["added_tokens"]), key=len, reverse=True))) or r"(?!)")
+        self.specials = [x["content"] for x in spec["added_tokens"]]
+        special = "|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True))) or r"(?!)"
+        self.special = regex.compile(special)
+        self.parts = regex.compile(rf"{special}|(?:(?!{special})\S)+")
         byte_of = {c: b for b, c in _printable_bytes().items()}
         end = b"\xff"  # no byte of UTF-8: stands for the word end
 
@@ -156,82 +174,76 @@ class PrefixCounter:
         for b in range(256):
             ranks.setdefault(bytes([b]), len(ranks))
         self.enc = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})
-        self.words: dict[str, int] = {}
-
-    def _pre_token(self, piece: str) -> int:
-        return len(self.enc._encode_single_piece(piece.encode() + b"\xff"))
-
-    def word(self, word: str) -> int:
-        """Tokens of a normalised run without white space."""
-        return sum(self._pre_token(m) for m in self.pattern.findall(word))
-
-    def normal(self, text: str) -> str:
-        # The library lowers each character on its own; Python lowers a last sigma by its context.
-        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-
-    def total(self, text: str) -> int:
-        if "<|" in text:
-            parts = self.special.split(text)
-            return len(parts) - 1 + sum(self._total(x) for x in parts)
-        return self._total(text)
-
-    def _total(self, text: str) -> int:
-        text = self.normal(text)
-        if not _CONTROL.isdisjoint(text):
-            return self.word(text)
-        return sum(self._counts(text.split()))
-
-    def _counts(self, words: list[str]) -> list[int]:
-        seen = self.words
-        if len(seen) > REMEMBERED:
-            seen.clear()
-        out = []
-        for w in words:
-            n = seen.get(w)
-            if n is None:
-                n = seen[w] = self.word(w)
-            out.append(n)
-        return out
+        self.known: dict[str, int] = {}
+
+    def count(self, part: str) -> int:
+        """Tokens of a special token, or of a run without white space and special tokens."""
+        n = self.known.get(part)
+        if n is None:
+            if len(self.known) > REMEMBERED:
+                self.known.clear()
+            n = 1 if self.special.fullmatch(part) else sum(len(self.enc._encode_single_piece(x.encode() + b"\xff")) for x in self.pattern.findall(self.normal(part)))
+            self.known[part] = n
+        return n
+
+    def words(self, text: str) -> list[str]:
+        """The words and special tokens in order."""
+        if any(x in text for x in self.specials) or not _SEPARATORS.isdisjoint(text):
+            return self.parts.findall(text)
+        return text.split()
 
     def table(self, text: str) -> PrefixTable:
         return PrefixTable(self, text)
 
 
+#: White space to Python's split() and not to regular expressions.
+_SEPARATORS = frozenset("\x1c\x1d\x1e\x1f")
+
+
 class PrefixTable:
-    """The stored dynamic programme of one text: count[i + 1] = count[i] + tokens of word i, with the words' places.
+    """The stored dynamic programme of one text: counts[i + 1] = counts[i] + tokens of its word i.
 
-    at(p) is the count of text[:p] for any p, and longest(budget) the longest prefix within a budget; both look up the running
-    count and examine one word, never the text before it.
+    total is the whole text's count, at(p) that of text[:p] for any p, and longest(budget) the longest prefix within a budget;
+    they look up the running count and examine the word that is cut, never the text before it.
     """
 
     def __init__(self, counter: PrefixCounter, text: str):
-        import regex
-
         self.counter, self.text = counter, text
-        spans = [(m.start(), m.end()) for m in regex.finditer(rf"{counter.special.pattern}|(?:(?!{counter.special.pattern})\S)+", text)]
-        self.starts = [a for a, _ in spans]
-        self.ends = [b for _, b in spans]
-        self.counts = [0, *accumulate(counter.total(text[a:b]) for a, b in spans)]
+        self.counts = [0, *accumulate(map(counter.count, counter.words(text)))]
+
+    @property
+    def total(self) -> int:
+        return self.counts[-1]
+
+    @cached_property
+    def spans(self) -> list[tuple[int, int]]:
+        """Places of the words; only asked for when a prefix is."""
+        return [m.span() for m in self.counter.parts.finditer(self.text)]
+
+    @cached_property
+    def ends(self) -> list[int]:
+        return [b for _, b in self.spans]
 
     def at(self, p: int) -> int:
         i = bisect.bisect_left(self.ends, p + 1)  # words that end by p
-        cut = self.counter.total(self.text[self.starts[i] : p]) if i < len(self.starts) and self.starts[i] < p else 0
-        return self.counts[i] + cut
+        if i == len(self.spans) or self.spans[i][0] >= p:
+            return self.counts[i]
+        a, b = self.spans[i]
+        if i and self.ends[i - 1] == a and self.counter.special.fullmatch(self.text, a, b) and not self.counter.special.fullmatch(self.text, *self.spans[i - 1]):
+            i, a = i - 1, self.spans[i - 1][0]  # part of a special token is text like that before it
+        return self.counts[i] + sum(map(self.counter.count, self.counter.words(self.text[a:p])))
 
     def longest(self, budget: int) -> int:
         """The largest p with at(q) <= budget for every whole word before p, and at(p) <= budget."""
         i = bisect.bisect_right(self.counts, budget) - 1
-        if i >= len(self.starts):
+        if i >= len(self.spans):
             return len(self.text)
-        best = self.starts[i]
-        for p in range(self.starts[i], self.ends[i]):
-            if self.at(p) <= budget:
-                best = p
-        return best
+        a, b = self.spans[i]
+        return max((p for p in range(a, b) if self.at(p) <= budget), default=a)
 
 
 def _printable_bytes() -> dict[int, str]:
-    """The usual map of bytes to printable characters: those that print stand for themselves, the others follow from U+0100."""
+    """Fixed values of the file format, by their rule: bytes that print stand for themselves, the others follow from U+0100."""
     keep = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in set(keep)]
     return {b: chr(b) for b in keep} | {b: chr(256 + i) for i, b in enumerate(rest)}
@@ -244,19 +256,25 @@ def counter(path: str) -> PrefixCounter:
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
-    """Exact token counts of every whole text, from the running counts over its words.
+    """Exact token counts of every whole text, from the stored counts at its prefixes, and where it has to be cut for `limit`.
 
-    No shuffle; a worker holds one text and a bounded memory of words. Result: doc_id, n_bytes, n_tokens, over_limit (more than
-    `limit` tokens). Null text is the empty text: 0 bytes, 0 tokens. Repeated rows give equal rows; an empty table none.
+    No shuffle; a worker holds one text, its prefix table and a bounded memory of words. Result: doc_id, n_bytes, n_tokens,
+    over_limit (more than `limit` tokens), fits_chars (characters of the longest prefix of at most `limit` tokens). Null text is
+    the empty text: all are 0. Repeated rows give equal rows; an empty table none; other columns are not read.
     """
 
     def make():
         c = counter(path)
 
         def run(texts: list) -> dict:
-            n = [c.total(t) if t else 0 for t in texts]
-            return {"n_bytes": [len(t.encode()) if t else 0 for t in texts], "n_tokens": n, "over_limit": [x > limit for x in n]}
+            out: dict = {"n_bytes": [], "n_tokens": [], "over_limit": [], "fits_chars": []}
+            for text in texts:
+                t = c.table(text or "")
+                over = t.total > limit
+                for col, v in zip(out, (len(t.text.encode()), t.total, over, t.longest(limit) if over else len(t.text)), strict=True):
+                    out[col].append(v)
+            return out
 
         return run
 
-    return map_texts(docs, make, "n_bytes long, n_tokens long, over_limit boolean")
+    return map_texts(docs, make, "n_bytes long, n_tokens long, over_limit boolean, fits_chars long")

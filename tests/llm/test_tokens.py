@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import random
 
 import public_tokenizers as P
 import pytest
@@ -31,12 +32,27 @@ def test_chunks_give_the_whole_texts_ids(bpe, plain):
             assert bpe.decode(got) == t.encode()
 
 
-def test_pieces_lie_at_true_boundaries(bpe):
+def test_white_space_at_the_seams(bpe, plain):
+    """At the default sizes, every kind of white space at every place of a seam."""
+    for unit in (" \xa0b", " \x85b", "\n\nb", " \u3000 b", "x\x1cy ", "Prix : 12 \xa0b ", "\t \r\nab"):
+        for before in range(len(unit) + 1):
+            t = "x" * before + unit * (2 * (K.CHUNK + K.OVERLAP) // len(unit))
+            assert K.encode_chunked(bpe, t) == plain.encode_ordinary(t), (unit, before)
+
+
+def test_random_texts(bpe, plain):
+    r = random.Random(11)
+    signs = ["'", "s", "'ll", " ", "  ", "\n", "\xa0", "7", "é", "日", "\u0558", "\U00031350", ",", "a", "ab", "\x1c", "\x85", "😀", "\u0301"]
+    for _ in range(150):
+        t = "".join(r.choices(signs, k=r.randrange(1, 400)))
+        for size in ((40, 12), (17, 9)):
+            assert K.encode_chunked(bpe, t, *size, threads=2) == plain.encode_ordinary(t), (t, size)
+
+
+def test_seams_are_true_boundaries(bpe):
     t = "The quick brown fox's tail  jumps.\nOver 1234 dogs " * 40
-    true = set(bpe.pieces(t))
-    cuts = list(K.piece_bounds(bpe, t, 100, 30))
-    assert len(cuts) > 10 and cuts[0][0] == 0 and cuts[-1][1] == len(t)
-    assert all(a in true and b in true for a, b in cuts) and all(x[1] == y[0] for x, y in zip(cuts, cuts[1:], strict=False))
+    cuts = K.seams(bpe, t, 100, 30)
+    assert len(cuts) > 10 and set(cuts) <= set(bpe.pieces(t)) and cuts == sorted(cuts)
 
 
 def test_encode_query(spark, plain):
@@ -63,16 +79,31 @@ def test_counts_are_the_librarys(spark):
 
 def test_every_character_counts_alike():
     lib, own = Tokenizer.from_file(P.path("word_bpe_49k.json")), K.counter(P.path("word_bpe_49k.json"))
-    for cp in range(0, 0x3100, 3):
-        s = f"a{chr(cp)}b {chr(cp)}Q"
-        assert own.total(s) == len(lib.encode(s, add_special_tokens=False).ids), hex(cp)
+    chars = [chr(c) for c in [*range(0, 0x3100, 3), *range(0xA640, 0xA7FF), *range(0x10400, 0x10500, 7), 0x1E921, 0x16E45]]
+    texts = [f"a{c}b {c}Q" for c in chars]
+    for s, got in zip(texts, lib.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert own.table(s).total == len(got.ids), ascii(s)
 
 
 def test_prefix_tables():
     lib, own = Tokenizer.from_file(P.path("word_bpe_49k.json")), K.counter(P.path("word_bpe_49k.json"))
-    for t in ["Some unbelievable words, 1234 and it's <|endoftext|> Done", *TEXTS[:6], "Überraschung naïve"]:
+    r = random.Random(2)
+    bits = ["<|endoftext|>", "<|startoftext|>", "<|", "|>", "<", ">", "|", "\t", " ", "a", "won't", "'s", "\x1c", "\x85", "é", "e\u0301", "\u0338", "12", "!"]
+    made = ["".join(r.choices(bits, k=r.randrange(1, 9))) for _ in range(300)]
+    for t in ["\t|><|endoftext|>", "Some unbelievable words, 1234 and it's <|endoftext|> Done", *TEXTS[:6], "Überraschung naïve", *made]:
         table = own.table(t)
-        counts = [len(lib.encode(t[:p], add_special_tokens=False).ids) for p in range(len(t) + 1)]
-        assert [table.at(p) for p in range(len(t) + 1)] == counts
+        counts = [len(x.ids) for x in lib.encode_batch([t[:p] for p in range(len(t) + 1)], add_special_tokens=False)]
+        assert [table.at(p) for p in range(len(t) + 1)] == counts, t
+        assert table.total == counts[-1]
         for budget in range(counts[-1] + 2):
             assert table.at(table.longest(budget)) <= budget
+
+
+def test_where_a_text_is_cut_for_the_limit(spark):
+    lib = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    rows = [(1, "word " * 9), (2, "a b"), (3, None), (4, "unbelievable " * 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for r in K.count_tokens(df, P.path("word_bpe_49k.json"), limit=5).collect():
+        t = dict(rows)[r["doc_id"]] or ""
+        assert r["over_limit"] == (r["n_tokens"] > 5) and len(lib.encode(t[: r["fits_chars"]], add_special_tokens=False).ids) <= 5
+        assert r["over_limit"] or r["fits_chars"] == len(t)
