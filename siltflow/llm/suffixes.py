@@ -15,10 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gram_hash, prefix_hash, small_batches, span_hash, stored, text_or_empty
+from .common import gram_hash, own_names, prefix_hash, small_batches, span_hash, stored, text_or_empty
 
 #: Bytes of a repeated string, and of the strings that anchor it.
 LENGTH, GRAM = 400, 24
+#: Bytes from which a passage that repeats is taken out of a corpus: fifty words of four letters, with their spaces.
+PASSAGE = 250
 #: Bytes of tuples that a queue holds in memory before it spills a sorted run, and suffixes that are induced together.
 HELD, TOGETHER = 48 << 20, 30_000
 #: Window starts of a text that are examined at once; the power of two that holds a place among them.
@@ -324,6 +326,10 @@ def _thinned(raw: np.ndarray, length: int) -> tuple[list[np.ndarray], list[tuple
     o = np.argsort(f, kind="stable")
     third = np.zeros(len(f), bool)
     third[o[2:]] = (f[o[2:]] == f[o[1:-1]]) & (f[o[2:]] == f[o[:-2]])
+    whole = raw.tobytes()
+    for j in np.flatnonzero(third[o]).tolist():  # hashes may meet by chance
+        x, y, z = (whole[a[i] : b[i] - 1 + length] for i in o[j - 2 : j + 1])
+        third[o[j]] = x == y == z
     known = merged([{"s": s, "e": e} for s, e in zip(a[third].tolist(), (b[third] - 1 + length).tolist(), strict=True)])
     return [x[~third] for x in (h, a, b, q)], known
 
@@ -445,18 +451,22 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def strip_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def strip_repeats(docs: DataFrame, length: int = PASSAGE) -> DataFrame:
     """docs with the repeated strings taken out of `text`, and n_chars, if there is one, set anew. A character of which a byte
-    goes is taken out whole. Documents of which nothing but white space is left are dropped, except where nothing was taken."""
+    goes is taken out whole. Documents of which nothing but white space is left are dropped, except where nothing was taken.
+
+    Null and empty texts lose nothing and stay as they are; equal rows lose all that they have in common; an empty table gives
+    no rows; all columns but text and n_chars pass as they are, whatever their names."""
 
     @F.udf("string", useArrow=True)
     def rest(text, found):
         return None if found is None else without(text.encode(), merged(found)).decode("utf-8", "ignore")
 
-    named = docs.withColumns({"_d": F.coalesce("doc_id", F.lit(0)).cast("long"), "_k": F.xxhash64(text_or_empty(), F.col("doc_id").isNull())})
-    s = spans(docs, length).select(F.col("d").alias("_d"), F.col("k").alias("_k"), F.col("spans").alias("_spans"))
-    out = named.join(s, ["_d", "_k"], "left").withColumn("_rest", F.when(F.col("_spans").isNotNull(), rest("text", "_spans")))
-    out = out.where("_spans is null or length(trim(_rest)) > 0").withColumn("text", F.coalesce("_rest", "text"))
+    d, k, at, left = own_names(docs, "d", "k", "at", "left")
+    named = docs.withColumns({d: F.coalesce("doc_id", F.lit(0)).cast("long"), k: F.xxhash64(text_or_empty(), F.col("doc_id").isNull())})
+    s = spans(docs, length).select(F.col("d").alias(d), F.col("k").alias(k), F.col("spans").alias(at))
+    out = named.join(s, [d, k], "left").withColumn(left, F.when(F.col(at).isNotNull(), rest("text", at)))
+    out = out.where(F.col(at).isNull() | (F.length(F.trim(left)) > 0)).withColumn("text", F.coalesce(left, "text"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(dict(docs.dtypes)["n_chars"])))
+        out = out.withColumn("n_chars", F.when(F.col(at).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(dict(docs.dtypes)["n_chars"])))
     return out.select(*docs.columns)
