@@ -218,7 +218,7 @@ def _stars(x: np.ndarray, pct: int) -> pd.DataFrame:
     bitmap is nearest; n is the number of lists that propose the pair. Sets come in the order of their keys in any list, so
     that lists of like sets have the same pivots."""
     size = np.floor(np.log(np.maximum(1, x["n"])) / np.log(1.1)).astype(np.int64)
-    o = np.lexsort((x["key"], size, x["token"]))
+    o = np.lexsort((x["key"].astype(np.int64), size, x["token"]))
     y, size = x[o], size[o]
     head = np.flatnonzero(np.r_[True, (y["token"][1:] != y["token"][:-1]) | (size[1:] != size[:-1])][: len(y)])
     first = np.repeat(head, np.diff(np.r_[head, len(y)]))
@@ -264,9 +264,11 @@ def _candidates(key: tuple, pdf: pd.DataFrame, pct: int) -> pd.DataFrame:
 
 def _across(key: tuple, pdf: pd.DataFrame, pct: int) -> pd.DataFrame:
     """Pairs of longer lists whose sets aren't known to be connected; of a list that is dealt in parts, those of two parts."""
-    x = np.empty(len(pdf), [*_POSTING.descr, ("c", "<i8"), ("part", "<i8")])
-    for col in x.dtype.names:
+    x = np.empty(len(pdf), [*_POSTING.descr, ("part", "<i8"), ("c", "<i8")])
+    for col in x.dtype.names[:-1]:
         x[col] = pdf[col].to_numpy(np.int64)
+    codes, roots = pd.factorize(pdf["c"])  # sets without links are components of their own
+    x["c"] = np.where(codes < 0, len(roots) + np.unique(x["key"], return_inverse=True)[1], codes)
     x = x[np.lexsort((x["key"], x["n"], x["token"]))]
     first = np.flatnonzero(np.r_[True, x["token"][1:] != x["token"][:-1]])
     found, two = [np.zeros((0, 2), np.int64)], key[1] != key[2]
@@ -286,11 +288,7 @@ def _across(key: tuple, pdf: pd.DataFrame, pct: int) -> pd.DataFrame:
 
 
 def _verify(docs: DataFrame, pairs: DataFrame, k: int, pct: int, rank: np.ndarray) -> DataFrame:
-    """Of pairs (a, b) of documents those that link. The hub of a pair is the one in more pairs; a hub of many pairs is salted."""
-    degree = pairs.select(F.col("a").alias("x")).unionByName(pairs.select(F.col("b").alias("x"))).groupBy("x").agg(F.count("*").alias("n"))
-    p = pairs.join(degree.select(F.col("x").alias("a"), F.col("n").alias("na")), "a").join(degree.select(F.col("x").alias("b"), F.col("n").alias("nb")), "b")
-    turned = (F.col("nb") > F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("b") < F.col("a")))
-    pairs = cut(p.select(F.when(turned, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("b")))
+    """Of pairs (a, b) of documents those that link. a is the pair's hub; a hub of many pairs is salted."""
     load = pairs.groupBy("a").agg(F.count("*").alias("load"))
     salts = F.expr(f"1 + (load - 1) div {HUB}")
     asked = pairs.join(load, "a").select(F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), salts).alias("salt"), F.lit(1).alias("role"), F.col("b").alias("d"))
@@ -356,7 +354,7 @@ def classes(docs: DataFrame, k: int = 4, pct: int = 85) -> DataFrame:
     name = groups.select(F.col("a").alias("key"), "rep", "n", "bits")
 
     def named(pairs: DataFrame) -> DataFrame:
-        """Pairs of set keys as pairs of documents that stand for the sets, the smaller first, without those whose bitmaps differ
+        """Different pairs of set keys, in order, as pairs of documents that stand for the sets, without those whose bitmaps differ
         in more bits than linked sets can differ in n-grams."""
         x, y = (name.select(F.col("key").alias(c), F.col("rep").alias(f"r{c}"), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits{c}")) for c in "ab")
         apart = F.aggregate(F.zip_with("bitsa", "bitsb", lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda t, u: t + u)
@@ -364,15 +362,15 @@ def classes(docs: DataFrame, k: int = 4, pct: int = 85) -> DataFrame:
         least = F.ceil(size * pct / (100 + pct) - F.lit(1e-6))
         near = apart <= size - 2 * least
         p = pairs.join(x, "a").join(y.withColumnRenamed("b", "key"), (F.col("b") == F.col("key")) & (F.col("ra") != F.col("rb")) & near)
-        return cut(p.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
+        return cut(p.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
 
     # a set is first tried with the few sets that most of its lists propose
     proposed = found.where("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("n"))
     few = Window.partitionBy("b").orderBy(F.desc("n"), "a")
     tried = named(proposed.withColumn("i", F.row_number().over(few)).where(F.col("i") <= HUBS).select("a", "b"))
-    roots = components(cut(_verify(known, tried, k, pct, rank)))
-    longer = found.where("kind = 1").select("token", F.col("a").alias("key"), F.col("b").alias("prev"), "n", "pos", "u", "v", "m").join(name.select("key", "rep"), "key")
-    longer = longer.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("c", F.coalesce("root", "rep"))
+    roots = cut(components(_verify(known, tried, k, pct, rank)))
+    label = name.select("key", F.col("rep").alias("node")).join(roots, "node").select("key", F.col("root").alias("c"))
+    longer = found.where("kind = 1").select("token", F.col("a").alias("key"), F.col("b").alias("prev"), "n", "pos", "u", "v", "m").join(label, "key", "left")
     parts = F.expr(f"1 + (m - 1) div {TOGETHER}")
     longer = longer.withColumn("part", F.pmod(F.xxhash64("key"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
     longer = longer.select("token", "key", "prev", "n", "pos", "u", "v", "c", "part", F.pmod(F.xxhash64("token"), F.lit(buckets)).alias("bucket"), F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
@@ -382,12 +380,14 @@ def classes(docs: DataFrame, k: int = 4, pct: int = 85) -> DataFrame:
         more = more.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"c{side}")), side, "left")
     more = cut(more.withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")}).where("ca <> cb").join(tried, ["a", "b"], "left_anti"))
     # what links two components is a link between their roots
-    more_links = _verify(known, more.select("a", "b"), k, pct, rank)
-    more_links = cut(more_links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).join(more, ["a", "b"]).select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct())
-    if not more_links.isEmpty():
-        above = components(more_links)
-        nodes = roots.unionByName(more_links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(roots, "node", "left_anti").select("node", F.col("node").alias("root")))
-        roots = cut(nodes.join(above.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root")))
+    across = _verify(known, more.select("a", "b"), k, pct, rank).join(more, ["a", "b"])
+    across = cut(across.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
+    if not across.isEmpty():
+        above = components(across)
+        single = across.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(roots, "node", "left_anti")
+        nodes = roots.unionByName(single.select("node", F.col("node").alias("root")))
+        top = above.select(F.col("node").alias("root"), F.col("root").alias("top"))
+        roots = cut(nodes.join(top, "root", "left").select("node", F.coalesce("top", "root").alias("root")))
     # documents that share a doc_id hold their sets together
     same = sets.join(groups, ["a", "b", "n"]).select(F.col("rep").alias("a"), F.col("d").alias("b")).where("a <> b")
     whole = components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(same)) if _repeats(sets) else None
@@ -405,7 +405,8 @@ def _repeats(sets: DataFrame) -> bool:
 
 
 def keep_one(docs: DataFrame, k: int = 5, pct: int = 80) -> DataFrame:
-    """The documents that have the smallest doc_id of their component, all their columns as they are; documents without
-    n-grams stay. Of rows that repeat that doc_id all stay."""
-    keep = classes(docs, k, pct).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi").unionByName(docs.where("doc_id is null"))
+    """The documents that have the smallest doc_id of their component, all their columns as they are, whatever their names;
+    documents without n-grams (null, empty, blank) and without doc_id stay. Of rows that repeat that doc_id all stay. An empty
+    table gives no rows."""
+    keep = classes(docs, k, pct).where("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(keep, docs["doc_id"] == keep["doc_id"], "left_semi").unionByName(docs.where("doc_id is null"))

@@ -115,8 +115,10 @@ def test_trie_probe_is_exact():
 
 def test_components(spark):
     links = [(i, i + 1) for i in range(30)] + [(100, 100 + i) for i in range(1, 50)] + [(7, 7), (60, 50)]
-    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
-    assert got == {**dict.fromkeys(range(31), 0), **dict.fromkeys(range(100, 150), 100), 50: 50, 60: 50}
+    df = spark.createDataFrame(links, "a long, b long")
+    for few in (0, 1000):
+        got = {r["node"]: r["root"] for r in components(df, few).collect()}
+        assert got == {**dict.fromkeys(range(31), 0), **dict.fromkeys(range(100, 150), 100), 50: 50, 60: 50}
 
 
 def test_one_of_each_group_stays(spark):
