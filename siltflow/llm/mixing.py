@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, text_or_empty
+from .common import cut, own_names, text_or_empty
 
 #: Fixed values. Words: runs of anything but ASCII white space. Weights of the sources in the order of their names.
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -118,13 +118,16 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """docs with a row for each time that the mix takes a document, whole where it takes at least half of its words."""
-    key = [F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.xxhash64(text_or_empty()).alias("_k")]
-    same = Window.partitionBy("_d", "_s", "_k")
-    rows = docs.withColumns({"_d": key[0], "_s": key[1], "_k": key[2]}).withColumn("_i", F.row_number().over(same.orderBy(F.lit(1))))
+    """docs with a row for each time that the mix takes a document, whole where it takes at least half of its words.
+
+    Documents without words (null, empty, blank) aren't in a mix; of equal rows each has its own share; an empty table gives no
+    rows; all columns pass as they are, whatever their names."""
+    d, s, k, i, n, copy, td, ts, tk, ti = own_names(docs, "d", "s", "k", "i", "n", "copy", "td", "ts", "tk", "ti")
+    rows = docs.withColumns({d: F.col("doc_id"), s: F.col("source"), k: F.xxhash64(text_or_empty())})
+    rows = rows.withColumn(i, F.row_number().over(Window.partitionBy(d, s, k).orderBy(F.lit(1))))
     taken = mix(docs, **options, keep_hash=True).where("size > 0")
     times = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
-    t = taken.select(F.col("doc_id").alias("t_d"), F.col("source").alias("t_s"), F.col("text_hash").alias("t_k"), times.alias("_n"))
-    t = t.withColumn("t_i", F.row_number().over(Window.partitionBy("t_d", "t_s", "t_k").orderBy(F.desc("_n")))).where("_n > 0")
-    on = F.col("_d").eqNullSafe(F.col("t_d")) & F.col("_s").eqNullSafe(F.col("t_s")) & (F.col("_k") == F.col("t_k")) & (F.col("_i") == F.col("t_i"))
-    return rows.join(t, on).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
+    t = taken.select(F.col("doc_id").alias(td), F.col("source").alias(ts), F.col("text_hash").alias(tk), times.alias(n))
+    t = t.withColumn(ti, F.row_number().over(Window.partitionBy(td, ts, tk).orderBy(F.desc(n)))).where(F.col(n) > 0)
+    on = F.col(d).eqNullSafe(F.col(td)) & F.col(s).eqNullSafe(F.col(ts)) & (F.col(k) == F.col(tk)) & (F.col(i) == F.col(ti))
+    return rows.join(t, on).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*docs.columns)

@@ -171,7 +171,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: Model) -> DataFrame:
-    """The documents with a score of at least one half, all their columns as they are."""
+    """The documents with a score of at least one half, all their columns as they are, whatever their names. Null, empty and
+    blank texts have the score of all-zero features, so they go or stay together; equal rows too; an empty table gives no rows."""
 
     @F.pandas_udf("double")
     def scores(text: pd.Series) -> pd.Series:
