@@ -22,7 +22,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def repeated_passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the strings of 400 bytes that occur more than once in the corpus."""
+    """Texts without the strings of 250 bytes, about fifty short words, that occur more than once in the corpus."""
     return suffixes.strip_repeats(docs)
 
 
