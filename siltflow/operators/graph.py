@@ -116,10 +116,10 @@ def transitive_closure(links: DataFrame) -> DataFrame:
 
 
 def older_neighbours(edges: DataFrame, ages: DataFrame) -> DataFrame:
-    """(id, n, mean) over the neighbours with a larger value of (id, value)."""
+    """(id, n, total, mean) over the neighbours with a larger value of (id, value); integer values have an exact total."""
     e = both_ways(edges)
     p = e.join(ages.select(F.col("id").alias("src"), F.col("value").alias("vs")), "src").join(ages.select(F.col("id").alias("dst"), F.col("value").alias("vd")), "dst")
-    return p.where("vs > vd").groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n"), F.avg("vs").alias("mean"))
+    return p.where("vs > vd").groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n"), F.sum("vs").alias("total"), F.avg("vs").alias("mean"))
 
 
 def betweenness(edges: DataFrame, digits: int = 5) -> DataFrame:

@@ -11,7 +11,7 @@ def ratings_of(df: DataFrame, user: str, item: str, rating: Column) -> DataFrame
     return df.groupBy(F.col(user).alias("user"), F.col(item).alias("item")).agg(F.avg(rating).alias("rating"))
 
 
-def item_similarity(ratings: DataFrame, pairs: DataFrame | None = None, least_common: int = 2, digits: int = 6) -> DataFrame:
+def item_similarity(ratings: DataFrame, pairs: DataFrame | None = None, least_common: int = 2, digits: int = 8) -> DataFrame:
     """(i, j, sim) by Pearson's correlation over the users who rated both items.
 
     With fewer than `least_common` common users the similarity is (5 - |mean_i - mean_j|) / 5; where a deviation is zero it is

@@ -87,9 +87,9 @@ def ml_summary(spark, sf_dir):
     return s.select(F.col("count").alias("n"), F.round(F.col("mean")[0], 6).alias("mean0"), F.round(F.col("variance")[0], 6).alias("var0"), F.round(F.col("max")[63], 6).alias("max63"))
 
 
-@query("ml_correlation", "SELECT 0 AS i, 1 AS j, round(corr(l_quantity, l_discount), 6) AS r FROM lineitem WHERE l_orderkey % 10 = 0 UNION ALL SELECT 0, 2, round(corr(l_quantity, l_tax), 6) FROM lineitem WHERE l_orderkey % 10 = 0 UNION ALL SELECT 1, 2, round(corr(l_discount, l_tax), 6) FROM lineitem WHERE l_orderkey % 10 = 0")
+@query("ml_correlation", "SELECT 0 AS i, 1 AS j, round(corr(l_quantity, l_discount), 6) AS r FROM lineitem UNION ALL SELECT 0, 2, round(corr(l_quantity, l_tax), 6) FROM lineitem UNION ALL SELECT 1, 2, round(corr(l_discount, l_tax), 6) FROM lineitem")
 def ml_correlation(spark, sf_dir):
-    return L.correlations(_rows(spark, sf_dir).where("l_orderkey % 10 = 0")).withColumn("r", F.round("r", 6))
+    return L.correlations(_rows(spark, sf_dir)).withColumn("r", F.round("r", 6))
 
 
 @query("ml_topics")
@@ -117,4 +117,7 @@ def ml_kolmogorov_smirnov(spark, sf_dir):
 @query("ml_tuning")
 def ml_tuning(spark, sf_dir):
     d = _vectors(spark, sf_dir, two=True).cache()
-    return spark.createDataFrame([("folds", float(L.tuned(d))), ("split", float(L.tuned(d, None)))], "kind string, accuracy double")
+    try:
+        return spark.createDataFrame([("folds", float(L.tuned(d))), ("split", float(L.tuned(d, None)))], "kind string, accuracy double")
+    finally:
+        d.unpersist()

@@ -111,10 +111,22 @@ def pcy_buckets(spark, sf_dir):
     return itemsets.pair_buckets(_rows(spark, sf_dir), 1000)
 
 
-@query("son_two_pass", f"WITH {_ROWS} SELECT CAST(item AS VARCHAR) AS items, CAST(count(*) AS BIGINT) AS n FROM r GROUP BY item HAVING count(*) >= 45")
+_NATIONS = "r AS (SELECT DISTINCT l_orderkey AS basket, s_nationkey AS item FROM lineitem JOIN supplier ON s_suppkey = l_suppkey), t AS (SELECT ceil(count(DISTINCT basket) * 0.002) AS least FROM r)"
+_SETS = " UNION ALL ".join(
+    f"SELECT concat_ws(',', {', '.join(f'r{i}.item' for i in range(k))}) AS items, CAST(count(*) AS BIGINT) AS n FROM r r0 "
+    + " ".join(f"JOIN r r{i} ON r{i}.basket = r0.basket AND r{i}.item > r{i - 1}.item" for i in range(1, k))
+    + f" GROUP BY {', '.join(f'r{i}.item' for i in range(k))} HAVING count(*) >= (SELECT least FROM t)"
+    for k in range(1, 8)  # an order has at most seven lines
+)
+
+
+@query("son_two_pass", f"WITH {_NATIONS} {_SETS}")
 def son_two_pass(spark, sf_dir):
-    """At this support only single items are frequent, so the SQL counts those."""
-    return itemsets.two_pass_frequent(_rows(spark, sf_dir), 45).select(F.array_join("items", ",").alias("items"), "n")
+    """Sets of nations that supply the same orders, at a support of two in a thousand: single ones, pairs and triples."""
+    li, s = load(spark, sf_dir, "lineitem"), load(spark, sf_dir, "supplier")
+    r = itemsets.long_form(li.join(s, F.col("s_suppkey") == F.col("l_suppkey")), "l_orderkey", "s_nationkey")
+    least = -(-r.select("basket").distinct().count() * 2 // 1000)
+    return itemsets.two_pass_frequent(r, least).select(F.array_join("items", ",").alias("items"), "n")
 
 
 @query("itemset_report", None)
@@ -122,13 +134,16 @@ def itemset_report(spark, sf_dir):
     return itemsets.itemset_lines(itemsets.frequent_sets(_rows(spark, sf_dir), 2, 2))
 
 
-@query("fpgrowth", f"WITH {_PAIRS} SELECT a || ',' || b AS items, CAST(n AS BIGINT) AS freq FROM p")
+@query("fpgrowth", f"WITH {_NATIONS} {_SETS.replace(' AS n FROM', ' AS freq FROM')}")
 def fpgrowth(spark, sf_dir):
+    """The sets of son_two_pass, of all sizes."""
     from pyspark.ml.fpm import FPGrowth
 
-    b = itemsets.baskets(load(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey")
-    found = FPGrowth(itemsCol="items", minSupport=(2 - 0.5) / b.count(), minConfidence=0.5).fit(b).freqItemsets
-    return found.where(F.size("items") == 2).select(F.array_join(F.array_sort("items"), ",").alias("items"), "freq")
+    li, s = load(spark, sf_dir, "lineitem"), load(spark, sf_dir, "supplier")
+    b = itemsets.baskets(li.join(s, F.col("s_suppkey") == F.col("l_suppkey")), "l_orderkey", "s_nationkey")
+    n = b.count()
+    found = FPGrowth(itemsCol="items", minSupport=max(0.0, (-(-n * 2 // 1000) - 0.5) / max(1, n)), minConfidence=0.5).fit(b).freqItemsets
+    return found.select(F.array_join(F.array_sort("items"), ",").alias("items"), "freq")
 
 
 @query("prefixspan", None)
@@ -141,12 +156,12 @@ def prefixspan(spark, sf_dir):
 
 # ---------------------------------------------------------------- recommenders
 _RATINGS = "rating AS (SELECT o_custkey AS u, l_partkey AS i, avg(l_quantity) / 10 AS r FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey % 10 <> 0 GROUP BY 1, 2)"
-_ASKED = "asked AS (SELECT DISTINCT o_custkey AS u, l_partkey AS i FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey % 100 = 0)"
+_ASKED = "asked AS (SELECT DISTINCT o_custkey AS u, l_partkey AS i FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey % 10 = 0)"
 _SIM = """co AS (SELECT p.i, p.j, count(x.u) AS n, sum(x.r) AS sx, sum(y.r) AS sy, sum(x.r * y.r) AS sxy, sum(x.r * x.r) AS sxx, sum(y.r * y.r) AS syy
   FROM pairs p LEFT JOIN (rating x JOIN rating y ON x.u = y.u) ON x.i = p.i AND y.i = p.j GROUP BY 1, 2),
 im AS (SELECT i, avg(r) AS m FROM rating GROUP BY 1), um AS (SELECT u, avg(r) AS m FROM rating GROUP BY 1),
 sim AS (SELECT co.i, co.j, round(CASE WHEN n < 2 THEN (5 - abs(a.m - b.m)) / 5 WHEN sxx - sx * sx / n <= 1e-9 OR syy - sy * sy / n <= 1e-9 THEN 0
-  ELSE (sxy - sx * sy / n) / sqrt((sxx - sx * sx / n) * (syy - sy * sy / n)) END, 6) AS sim FROM co JOIN im a ON a.i = co.i JOIN im b ON b.i = co.j)"""
+  ELSE (sxy - sx * sy / n) / sqrt((sxx - sx * sx / n) * (syy - sy * sy / n)) END, 8) AS sim FROM co JOIN im a ON a.i = co.i JOIN im b ON b.i = co.j)"""
 
 
 def _predict_sql(variant: int) -> str:
@@ -158,7 +173,7 @@ near AS (SELECT asked.u, asked.i, rating.i AS j, r FROM asked JOIN rating ON ask
 pairs AS (SELECT DISTINCT i, j FROM near), {_SIM},
 top AS (SELECT near.u, near.i, r, sim, row_number() OVER (PARTITION BY near.u, near.i ORDER BY sim DESC, near.j) AS rn FROM near JOIN sim USING (i, j) {positive}),
 cf AS (SELECT u, i, sum(sim * r) AS num, sum(abs(sim)) AS den FROM top WHERE rn <= 15 GROUP BY 1, 2)
-SELECT asked.u AS user, asked.i AS item, round({last}, 4) AS prediction FROM asked LEFT JOIN cf ON cf.u = asked.u AND cf.i = asked.i
+SELECT asked.u AS user, asked.i AS item, round({last}, 8) AS prediction FROM asked LEFT JOIN cf ON cf.u = asked.u AND cf.i = asked.i
 LEFT JOIN um ON um.u = asked.u LEFT JOIN im ON im.i = asked.i"""
 
 
@@ -172,27 +187,20 @@ def _ratings(spark, sf_dir):
 
 
 def _asked(spark, sf_dir):
-    return _lines(spark, sf_dir).where("o_orderkey % 100 = 0").select(F.col("o_custkey").alias("user"), F.col("l_partkey").alias("item")).distinct()
-
-
-def _held_out(spark, sf_dir):
     """All that the training split leaves out."""
     return _lines(spark, sf_dir).where("o_orderkey % 10 = 0").select(F.col("o_custkey").alias("user"), F.col("l_partkey").alias("item")).distinct()
 
 
-@query("item_pearson", f"WITH {_RATINGS}, pairs AS (SELECT DISTINCT x.i, y.i AS j FROM rating x JOIN rating y ON x.u = y.u AND x.i < y.i WHERE x.i % 20 = 1 AND y.i % 20 = 2), {_SIM} SELECT i, j, round(sim, 4) AS sim FROM sim")
+@query("item_pearson", f"WITH {_RATINGS}, pairs AS (SELECT DISTINCT x.i, y.i AS j FROM rating x JOIN rating y ON x.u = y.u AND x.i < y.i), {_SIM} SELECT i, j, sim FROM sim")
 def item_pearson(spark, sf_dir):
-    """Pairs between two classes of items (i % 20 = 1 and j % 20 = 2)."""
-    r = _ratings(spark, sf_dir)
-    x, y = r.where("item % 20 = 1").select("user", F.col("item").alias("i")), r.where("item % 20 = 2").select("user", F.col("item").alias("j"))
-    pairs = x.join(y, "user").where("i < j").select("i", "j").distinct()
-    return recommend.item_similarity(r, pairs).select("i", "j", F.round("sim", 4).alias("sim"))
+    """All pairs of items that a user has both rated."""
+    return recommend.item_similarity(_ratings(spark, sf_dir))
 
 
 def _cf(name, variant):
     @query(name, _predict_sql(variant))
     def run(spark, sf_dir):
-        return recommend.predict(_ratings(spark, sf_dir), _asked(spark, sf_dir), variant).withColumn("prediction", F.round("prediction", 4))
+        return recommend.predict(_ratings(spark, sf_dir), _asked(spark, sf_dir), variant).withColumn("prediction", F.round("prediction", 8))
 
 
 for _i in (1, 2, 3):
@@ -236,12 +244,13 @@ def item_features(spark, sf_dir):
 
 
 def _features(name, cols, defaults):
-    picked = ", ".join(f"round(coalesce({c}, {defaults[c]}), 7) AS {c}" if defaults[c] is not None else f"round({c}, 7) AS {c}" for c in cols)
+    digits = {c: 6 if c == "u_avg" else 9 for c in cols}  # means of prices are the largest
+    picked = ", ".join(f"round(coalesce({c}, {defaults[c]}), {digits[c]}) AS {c}" if defaults[c] is not None else f"round({c}, {digits[c]}) AS {c}" for c in cols)
 
     @query(name, f"WITH {_ASKED}, {_FEATURE_SQL} SELECT asked.u AS user, asked.i AS item, {picked} FROM asked LEFT JOIN ul ON ul.u = asked.u LEFT JOIN il ON il.i = asked.i")
     def run(spark, sf_dir):
         f = recommend.join_features(_asked(spark, sf_dir), user_features(spark, sf_dir), item_features(spark, sf_dir), defaults)
-        return f.select("user", "item", *[F.round(c, 7).alias(c) for c in cols])
+        return f.select("user", "item", *[F.round(c, digits[c]).alias(c) for c in cols])
 
 
 for _name, (_cols, _defaults) in _FEATURES.items():
@@ -253,11 +262,11 @@ def zscore(spark, sf_dir):
     return analytics.zscores(load(spark, sf_dir, "customer"), ["c_acctbal"], ["c_custkey"]).select("c_custkey", F.round("c_acctbal", 6).alias("c_acctbal"))
 
 
-_TRUTH = "truth AS (SELECT o_custkey AS u, l_partkey AS i, avg(l_quantity) / 10 AS t FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey % 100 = 0 GROUP BY 1, 2), guess AS (SELECT p_partkey AS i, p_size / 10.0::DOUBLE AS g FROM part)"
+_TRUTH = "truth AS (SELECT o_custkey AS u, l_partkey AS i, avg(l_quantity) / 10 AS t FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey % 10 = 0 GROUP BY 1, 2), guess AS (SELECT p_partkey AS i, p_size / 10.0::DOUBLE AS g FROM part)"
 
 
 def _scored(spark, sf_dir):
-    truth = recommend.ratings_of(_lines(spark, sf_dir).where("o_orderkey % 100 = 0"), "o_custkey", "l_partkey", F.col("l_quantity")).withColumn("rating", F.col("rating") / 10)
+    truth = recommend.ratings_of(_lines(spark, sf_dir).where("o_orderkey % 10 = 0"), "o_custkey", "l_partkey", F.col("l_quantity")).withColumn("rating", F.col("rating") / 10)
     return truth.join(load(spark, sf_dir, "part").select(F.col("p_partkey").alias("item"), (F.col("p_size") / 10.0).alias("guess")), "item")
 
 
@@ -278,7 +287,7 @@ def _gbt(spark, sf_dir):
     zero = dict.fromkeys(_GBT, 0.0)
     uf, itf = user_features(spark, sf_dir), item_features(spark, sf_dir)
     train = recommend.join_features(_ratings(spark, sf_dir), uf, itf, zero)
-    return recommend.boosted_trees(recommend.check_matrix(train, _GBT), recommend.join_features(_held_out(spark, sf_dir), uf, itf, zero), _GBT, trees=100)
+    return recommend.boosted_trees(recommend.check_matrix(train, _GBT), recommend.join_features(_asked(spark, sf_dir), uf, itf, zero), _GBT, trees=100)
 
 
 @query("gbt_predict", None)
@@ -288,12 +297,12 @@ def gbt_predict(spark, sf_dir):
 
 @query("als_predict", None)
 def als_predict(spark, sf_dir):
-    return recommend.factorise(_ratings(spark, sf_dir), _held_out(spark, sf_dir))
+    return recommend.factorise(_ratings(spark, sf_dir), _asked(spark, sf_dir))
 
 
 @query("hybrid_predict", None)
 def hybrid_predict(spark, sf_dir):
-    return recommend.hybrid(recommend.predict(_ratings(spark, sf_dir), _held_out(spark, sf_dir), 2), _gbt(spark, sf_dir), 0.1)
+    return recommend.hybrid(recommend.predict(_ratings(spark, sf_dir), _asked(spark, sf_dir), 2), _gbt(spark, sf_dir), 0.1)
 
 
 # ---------------------------------------------------------------- graphs
@@ -354,18 +363,8 @@ def graph_triangles(spark, sf_dir):
     return graph.triangles(_edges(spark, sf_dir))
 
 
-_LINKS = "link AS (SELECT DISTINCT s_nationkey AS src, c_nationkey AS dst FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey WHERE l_quantity > 49 AND s_nationkey < c_nationkey AND (s_nationkey + c_nationkey) % 3 = 0)"
-
-
-def _links(spark, sf_dir):
-    li = load(spark, sf_dir, "lineitem").where("l_quantity > 49").select("l_orderkey", "l_suppkey")
-    o, c, s = (load(spark, sf_dir, t) for t in ("orders", "customer", "supplier"))
-    j = li.join(o, F.col("o_orderkey") == F.col("l_orderkey")).join(c, F.col("c_custkey") == F.col("o_custkey")).join(s, F.col("s_suppkey") == F.col("l_suppkey"))
-    return j.where("s_nationkey < c_nationkey AND (s_nationkey + c_nationkey) % 3 = 0").select(F.col("s_nationkey").alias("src"), F.col("c_nationkey").alias("dst")).distinct()
-
-
 def _pagerank_sql(rounds: int = 6) -> str:
-    out = f"{_LINKS}, v AS (SELECT src AS id FROM link UNION SELECT dst FROM link), deg AS (SELECT src, count(*) AS d FROM link GROUP BY 1), p0 AS (SELECT id, CAST(1 AS DOUBLE) AS rank FROM v)"
+    out = f"{_EDGES}, link AS (SELECT src, dst FROM both_ways), v AS (SELECT id FROM node), deg AS (SELECT src, count(*) AS d FROM link GROUP BY 1), p0 AS (SELECT id, CAST(1 AS DOUBLE) AS rank FROM v)"
     for i in range(rounds):
         out += f", p{i + 1} AS (SELECT v.id, 0.15 + 0.85 * coalesce(sum(rank / d), 0) AS rank FROM v LEFT JOIN (link JOIN deg USING (src) JOIN p{i} ON p{i}.id = src) ON dst = v.id GROUP BY v.id)"
     return f"WITH {out} SELECT id, round(rank, 9) AS rank FROM p{rounds}"
@@ -373,12 +372,12 @@ def _pagerank_sql(rounds: int = 6) -> str:
 
 @query("graph_pagerank", _pagerank_sql())
 def graph_pagerank(spark, sf_dir):
-    return graph.pagerank(_links(spark, sf_dir), 6).select("id", F.round("rank", 9).alias("rank"))
+    return graph.pagerank(graph.both_ways(_edges(spark, sf_dir)), 6).select("id", F.round("rank", 9).alias("rank"))
 
 
-@query("graph_tc", f"WITH RECURSIVE {_LINKS}, tc AS (SELECT src, dst FROM link UNION SELECT tc.src, link.dst FROM tc JOIN link ON tc.dst = link.src) SELECT src, dst FROM tc")
+@query("graph_tc", f"WITH RECURSIVE {_EDGES}, tc AS (SELECT src, dst FROM edge UNION SELECT tc.src, edge.dst FROM tc JOIN edge ON tc.dst = edge.src) SELECT src, dst FROM tc")
 def graph_tc(spark, sf_dir):
-    return graph.transitive_closure(_links(spark, sf_dir))
+    return graph.transitive_closure(_edges(spark, sf_dir))
 
 
 @query("graph_sssp", f"WITH RECURSIVE {_EDGES}, s AS (SELECT min(id) AS id FROM node), walk(id, d) AS (SELECT id, 0 FROM s UNION SELECT dst, d + 1 FROM walk JOIN both_ways ON id = src WHERE d < 30) SELECT id, CAST(min(d) AS INTEGER) AS distance FROM walk GROUP BY 1")
@@ -387,10 +386,10 @@ def graph_sssp(spark, sf_dir):
     return graph.shortest_paths(e, e.agg(F.min("src")).first()[0])
 
 
-@query("graph_older_neighbours", f"WITH {_EDGES} SELECT b.dst AS id, CAST(count(*) AS BIGINT) AS n, round(avg(x.c_acctbal), 7) AS mean FROM both_ways b JOIN customer x ON x.c_custkey = b.src JOIN customer y ON y.c_custkey = b.dst WHERE x.c_acctbal > y.c_acctbal GROUP BY 1")
+@query("graph_older_neighbours", f"WITH {_EDGES} SELECT b.dst AS id, CAST(count(*) AS BIGINT) AS n, CAST(sum(CAST(round(x.c_acctbal * 100) AS BIGINT)) AS DOUBLE) / (count(*) * 100.0::DOUBLE) AS mean FROM both_ways b JOIN customer x ON x.c_custkey = b.src JOIN customer y ON y.c_custkey = b.dst WHERE x.c_acctbal > y.c_acctbal GROUP BY 1")
 def graph_older_neighbours(spark, sf_dir):
-    v = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("value"))
-    return graph.older_neighbours(_edges(spark, sf_dir), v).select("id", "n", F.round("mean", 7).alias("mean"))
+    v = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.round(F.col("c_acctbal") * 100).cast("long").alias("value"))
+    return graph.older_neighbours(_edges(spark, sf_dir), v).select("id", "n", (F.col("total").cast("double") / (F.col("n") * 100.0)).alias("mean"))
 
 
 @query("betweenness", None)
