@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from siltflow.plans import files, learning, mining, relational, reviews, scalars, streams, udfs  # noqa: F401
+from siltflow.plans import files, frames, learning, mining, relational, reviews, scalars, streams, udfs  # noqa: F401

@@ -275,3 +275,64 @@ def fn_engine_only(spark, sf_dir):
 @query("fn_json_tuple", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
 def fn_json_tuple(spark, sf_dir):
     return load(spark, sf_dir, "events").select("event_id", F.json_tuple("props", "k").alias("k"))
+_family("fn_more_math", "lineitem", "l_orderkey", {
+    "n": (lambda: c("l_linenumber"), "l_linenumber"),
+    "at": (lambda: F.round(F.atan("l_quantity"), 9), "round(atan(l_quantity), 9)"),
+    "ach": (lambda: F.round(F.acosh("l_quantity"), 9), "round(acosh(l_quantity), 9)"),
+    "ash": (lambda: F.round(F.asinh("l_quantity"), 9), "round(asinh(l_quantity), 9)"),
+    "ath": (lambda: F.round(F.atanh("l_discount"), 9), "round(atanh(l_discount), 9)"),
+    "lg": (lambda: F.round(F.log(3.0, c("l_quantity")), 9), "round(ln(l_quantity) / ln(3), 9)"),
+    "sru": (lambda: F.shiftrightunsigned(c("l_partkey"), 2), "l_partkey >> 2"),
+    "sr": (lambda: F.shiftright(c("l_partkey"), 1), "l_partkey >> 1"),
+    "sl": (lambda: F.shiftleft(c("l_partkey"), 1), "l_partkey << 1"),
+    "br": (lambda: F.bround(c("l_extendedprice") / 1000, 0), "round_even(l_extendedprice / 1000, 0)"),
+    "hyp": (lambda: F.round(F.hypot("l_quantity", "l_tax"), 9), "round(sqrt(l_quantity * l_quantity + l_tax * l_tax), 9)"),
+    "l1p": (lambda: F.round(F.log1p("l_discount"), 9), "round(ln(1 + l_discount), 9)"),
+    "em1": (lambda: F.round(F.expm1("l_discount"), 9), "round(exp(l_discount) - 1, 9)"),
+    "sg": (lambda: F.signum(c("l_quantity") - 25), "CAST(sign(l_quantity - 25) AS DOUBLE)"),
+    "deg": (lambda: F.round(F.degrees("l_tax"), 9), "round(degrees(l_tax), 9)"),
+    "fac": (lambda: F.factorial(c("l_linenumber")), "CAST(factorial(l_linenumber) AS BIGINT)"),
+})
+_family("fn_more_string", "part", "p_partkey", {
+    "rt": (lambda: F.rtrim(F.concat("p_brand", F.lit("  "))), "rtrim(p_brand || '  ')"),
+    "unh": (lambda: F.decode(F.unhex(F.hex("p_brand")), "UTF-8"), "decode(unhex(hex(encode(p_brand))))"),
+    "ub": (lambda: F.decode(F.unbase64(F.base64(F.encode("p_brand", "UTF-8"))), "UTF-8"), "p_brand"),
+    "ini": (lambda: F.initcap(F.lower("p_brand")), "upper(p_brand[1]) || lower(p_brand[2:])"),
+    "loc": (lambda: F.locate("a", "p_name", 2), "CAST(CASE WHEN instr(p_name[2:], 'a') = 0 THEN 0 ELSE instr(p_name[2:], 'a') + 1 END AS INTEGER)"),
+    "ovl": (lambda: F.overlay("p_brand", F.lit("XX"), 2, 2), "p_brand[1] || 'XX' || p_brand[4:]"),
+    "sx": (lambda: F.substring_index("p_type", " ", 1), "split_part(p_type, ' ', 1)"),
+    "bl": (lambda: F.bit_length("p_brand"), "CAST(bit_length(p_brand) AS INTEGER)"),
+    "sha": (lambda: F.sha2("p_name", 256), "sha256(p_name)"),
+    "chk": (lambda: F.coalesce(F.assert_true(c("p_size") > 0).cast("string"), F.lit("checked")), "'checked'"),
+    "bin": (lambda: F.bin(c("p_size")), "bin(p_size)"),
+    "cnv": (lambda: F.conv(c("p_size").cast("string"), 10, 16), "to_base(p_size, 16)"),
+})
+_family("fn_more_array", "part", "p_partkey", {
+    "uni": (lambda: F.array_sort(F.array_union(F.array(c("p_size"), F.lit(3)), F.array(F.lit(3), F.lit(60)))), "list_sort(list_distinct([p_size, 3, 60]))"),
+    "exc": (lambda: F.array_except(F.array(c("p_size"), F.lit(3)), F.array(F.lit(3))), "CASE WHEN p_size = 3 THEN CAST([] AS INTEGER[]) ELSE [p_size] END"),
+    "zip": (lambda: F.transform(F.arrays_zip(F.array(c("p_size"), F.lit(1)).alias("x"), F.array(F.lit(7), c("p_size")).alias("y")), lambda z: z["x"] * 100 + z["y"]), "[p_size * 100 + 7, 100 + p_size]"),
+    "ent": (lambda: F.transform(F.map_entries(F.create_map(F.lit("k"), c("p_size"))), lambda e: F.concat(e["key"], e["value"].cast("string"))), "['k' || p_size]"),
+    "mfa": (lambda: F.map_from_arrays(F.array(F.lit("a"), F.lit("b")), F.array(c("p_size"), F.lit(0)))["a"], "p_size"),
+    "ovp": (lambda: F.arrays_overlap(F.array(c("p_size")), F.array(F.lit(3), F.lit(5))), "p_size IN (3, 5)"),
+    "rem": (lambda: F.array_remove(F.array(c("p_size"), F.lit(5)), 5), "CASE WHEN p_size = 5 THEN CAST([] AS INTEGER[]) ELSE [p_size] END"),
+    "rpt": (lambda: F.array_repeat(c("p_size"), 2), "[p_size, p_size]"),
+    "fl": (lambda: F.flatten(F.array(F.array(c("p_size")), F.array(F.lit(1)))), "[p_size, 1]"),
+    "mc": (lambda: F.map_concat(F.create_map(F.lit("a"), c("p_size")), F.create_map(F.lit("b"), F.lit(2)))["b"], "2"),
+})
+_family("fn_more_time", "orders", "o_orderkey", {
+    "ts": (lambda: F.to_timestamp(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")).cast("long"), "CAST(epoch(date_trunc('second', o_orderdate)) AS BIGINT)"),
+    "sec": (lambda: F.timestamp_seconds(F.lit(86400) * c("o_custkey").cast("long")).cast("date"), "CAST(DATE '1970-01-01' + CAST(o_custkey AS INTEGER) AS DATE)"),
+    "utc": (lambda: F.to_utc_timestamp("o_orderdate", "+02:00").cast("long"), "CAST(epoch(date_trunc('second', o_orderdate)) AS BIGINT) - 7200"),
+    "frm": (lambda: F.from_utc_timestamp("o_orderdate", "+02:00").cast("long"), "CAST(epoch(date_trunc('second', o_orderdate)) AS BIGINT) + 7200"),
+    "mk": (lambda: F.make_date(F.year("o_orderdate"), F.month("o_orderdate"), F.lit(1)), "CAST(date_trunc('month', o_orderdate) AS DATE)"),
+    "ld": (lambda: F.last_day("o_orderdate"), "last_day(o_orderdate)"),
+    "woy": (lambda: F.weekofyear("o_orderdate"), "CAST(weekofyear(o_orderdate) AS INTEGER)"),
+    "ux": (lambda: F.unix_timestamp("o_orderdate"), "CAST(epoch(date_trunc('second', o_orderdate)) AS BIGINT)"),
+})
+
+
+@query("fn_posexplode_outer", "SELECT p_partkey, CAST(CASE WHEN p_size > 25 THEN i END AS INTEGER) AS pos, CASE WHEN p_size > 25 THEN p_size + i END AS x FROM part, (VALUES (0), (1)) v(i) WHERE p_size > 25 OR i = 0")
+def fn_posexplode_outer(spark, sf_dir):
+    """Rows without an array stay, with nulls."""
+    p = load(spark, sf_dir, "part").withColumn("a", F.when(c("p_size") > 25, F.array(c("p_size"), c("p_size") + 1)))
+    return p.select("p_partkey", F.posexplode_outer("a").alias("pos", "x"))
