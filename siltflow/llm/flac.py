@@ -89,19 +89,37 @@ def _frame_header(number: int, size: int) -> bytes:
     return head + bytes([crc8(head)])
 
 
-def _lpc(x: np.ndarray, order: int, precision: int = 12) -> tuple[np.ndarray, int]:
-    """Quantised predictor coefficients of one block, by Levinson's recursion on its autocorrelation."""
-    v = x.astype(float) * np.hanning(len(x) + 2)[1:-1]
-    r = np.array([v[: len(v) - i] @ v[i:] for i in range(order + 1)])
+#: Bits of a quantised predictor coefficient.
+PRECISION = 12
+
+
+def _linear(x: np.ndarray, base: np.ndarray, n: np.ndarray, place: np.ndarray, order: int) -> tuple[np.ndarray, ...]:
+    """Coefficients [order, frame], shifts and residuals of linear predictors of all frames at once: each frame's
+    autocorrelation under a Hann window, Levinson's recursion, and rounding to PRECISION bits."""
+    v = x * (0.5 - 0.5 * np.cos(2 * np.pi * (place + 1) / np.repeat(n + 1, n)))
+    r = np.empty((order + 1, len(base)))
+    for lag in range(order + 1):
+        both = np.zeros(len(x))
+        both[lag:] = v[lag:] * v[: len(x) - lag]
+        both[place < lag] = 0
+        r[lag] = np.add.reduceat(both, base)
     r[0] = r[0] * 1.0001 + 1e-9
-    a, err = np.zeros(0), r[0]
+    a, err = np.zeros((order, len(base))), r[0].copy()
     for i in range(order):
-        k = (r[i + 1] - a @ r[i:0:-1]) / err
-        a = np.append(a - k * a[::-1], k)
-        err *= 1 - k * k
-    shift = int(np.clip(precision - 1 - np.ceil(np.log2(max(1e-9, np.abs(a).max()) + 1e-12)) - 1, 0, 15))
-    most = (1 << (precision - 1)) - 1
-    return np.clip(np.round(a * (1 << shift)), -most - 1, most).astype(np.int64), shift
+        k = (r[i + 1] - (a[:i] * r[i:0:-1]).sum(axis=0)) / err
+        a[:i] = a[:i] - k * a[:i][::-1]
+        a[i] = k
+        err = err * (1 - k * k)
+    most = (1 << (PRECISION - 1)) - 1
+    shift = np.clip(PRECISION - 2 - np.ceil(np.log2(np.maximum(1e-9, np.abs(a).max(axis=0)))), 0, 15).astype(np.int64)
+    coefs = np.clip(np.round(a * 2.0**shift), -most - 1, most).astype(np.int64)
+    frame = np.repeat(np.arange(len(base), dtype=np.int32), n)
+    pred = np.zeros(len(x), np.int64)
+    for i in range(order):
+        pred[i + 1 :] += coefs[i][frame[i + 1 :]] * x[: len(x) - 1 - i]
+    e = x - (pred >> shift[frame])
+    e[place < order] = 0
+    return coefs, shift, e
 
 
 def _put(bits: np.ndarray, at: np.ndarray, value: np.ndarray, width: int) -> None:
@@ -138,18 +156,13 @@ def encode(payloads: list[bytes], block: int = BLOCK, lpc_order: int = 0, orders
             better = cost < best
             res = r.copy() if res is None else np.where(better[frame], r, res)
             order[better], best = o, np.minimum(cost, best)
-    coefs: dict[int, tuple[np.ndarray, int]] = {}
+    is_lpc = np.zeros(n_frames, bool)
     if lpc_order:
-        for f in np.flatnonzero(n > lpc_order):
-            own = x[base[f] : base[f] + n[f]].astype(np.int64)
-            c, shift = _lpc(own, lpc_order)
-            pred = sum(int(c[i]) * own[lpc_order - 1 - i : n[f] - 1 - i] for i in range(lpc_order)) >> shift
-            e = own[lpc_order:] - pred
-            if np.abs(e).sum() + 20 * lpc_order < best[f] and np.abs(e).max() < 1 << 20:
-                coefs[int(f)] = c, shift
-                order[f] = lpc_order
-                res[base[f] : base[f] + lpc_order] = 0
-                res[base[f] + lpc_order : base[f] + n[f]] = e
+        coefs, shift, e = _linear(x, base, n, place, lpc_order)
+        cost = np.add.reduceat(np.abs(e), base) + 20 * lpc_order
+        is_lpc = (n > lpc_order) & (cost < best) & (np.maximum.reduceat(np.abs(e), base) < 1 << 20)
+        order[is_lpc] = lpc_order
+        res = np.where(is_lpc[frame], e, res).astype(np.int32)
     constant = np.maximum.reduceat(x, base) == np.minimum.reduceat(x, base)
 
     coded = place >= np.repeat(np.where(constant, block, order).astype(np.int32), n)
@@ -160,9 +173,7 @@ def encode(payloads: list[bytes], block: int = BLOCK, lpc_order: int = 0, orders
     ks = np.repeat(k, n)
     q = zig >> ks
     width = (q + ks + 1) * coded
-    is_lpc = np.zeros(n_frames, bool)
-    is_lpc[list(coefs)] = True
-    extra = np.where(is_lpc, 9 + 12 * order, 0)
+    extra = np.where(is_lpc, 9 + PRECISION * order, 0)
     lead = np.where(constant, 16, 8 + 8 * order + extra + 10)
     body = lead + np.add.reduceat(width, base, dtype=np.int64)
     heads = [_frame_header(int(i), int(m)) for i, m in zip(number, n, strict=True)]
@@ -178,13 +189,13 @@ def encode(payloads: list[bytes], block: int = BLOCK, lpc_order: int = 0, orders
     for i in range(int(order.max(initial=0))):
         own = np.flatnonzero((order > i) & ~constant)
         _put(bits, sub[own] + 8 + 8 * i, x[base[own] + i] & 0xFF, 8)
-    for f, (c, shift) in coefs.items():
-        if not constant[f]:
-            at = sub[f : f + 1] + 8 + 8 * order[f]
-            _put(bits, at, np.array([11]), 4)
-            _put(bits, at + 4, np.array([shift]), 5)
-            for i, v in enumerate(c):
-                _put(bits, at + 9 + 12 * i, np.array([v]) & 0xFFF, 12)
+    own = np.flatnonzero(is_lpc & ~constant)
+    if len(own):
+        at = sub[own] + 8 + 8 * lpc_order
+        _put(bits, at, np.full(len(own), PRECISION - 1), 4)
+        _put(bits, at + 4, shift[own], 5)
+        for i in range(lpc_order):
+            _put(bits, at + 9 + PRECISION * i, coefs[i, own] & (1 << PRECISION) - 1, PRECISION)
     rice = np.flatnonzero(~constant)
     _put(bits, sub[rice] + lead[rice] - 4, k[rice], 4)
     at = np.cumsum(width) - width
@@ -490,8 +501,9 @@ def pad(text: str | None) -> bytes:
     return raw + bytes(-len(raw) % 64 if raw else 64)
 
 
-def write_media(docs: DataFrame, block: int = BLOCK, lpc_order: int = 0) -> DataFrame:
-    """(doc_id, n_bytes, media): each whole text as a FLAC stream of 8-bit samples, one per payload byte. Null and empty texts
+def write_media(docs: DataFrame, block: int = BLOCK, lpc_order: int = 4) -> DataFrame:
+    """(doc_id, n_bytes, media): each whole text as a FLAC stream of 8-bit samples, one per payload byte, its frames with linear
+    predictors of `lpc_order` where they are shorter than the fixed ones. Equal rows give equal streams. Null and empty texts
     give 64 zero samples; no shuffle, and a worker holds a batch of texts and AT_ONCE bytes' arrays."""
 
     def run(texts: list) -> dict:

@@ -85,3 +85,16 @@ def test_query_rows(spark):
         assert r["payload_sha256"] == hashlib.sha256(p).hexdigest() and r["tail_crc32"] == zlib.crc32(p[-64:])
     assert rows[2]["media_sha256"] == rows[4]["media_sha256"] and rows[2]["feature"] == rows[4]["feature"]
     assert flac.read_media(flac.write_media(df.limit(0))).count() == 0
+
+
+def test_linear_predictors_win_and_equal_payloads_give_equal_streams():
+    r = np.random.default_rng(3)
+    wave = [(128 + 90 * np.sin(np.arange(n) / w) + r.integers(-2, 3, n)).astype(np.uint8).tobytes() for n, w in ((9000, 7.0), (5000, 3.0), (64, 5.0))]
+    texts = [b"some words and others " * 300, bytes(64), *wave]
+    alone = [flac.encode([p], lpc_order=4)[0] for p in texts]
+    assert flac.encode([*texts[::-1], *texts], lpc_order=4) == [*alone[::-1], *alone]
+    assert flac.decode(alone) == texts
+    fixed = flac.encode(wave[:2])
+    assert all(len(a) < 0.9 * len(b) for a, b in zip(alone[2:4], fixed, strict=True))
+    for p, s in zip(texts, alone, strict=True):
+        assert flac.read_samples(s, len(p) - 50, 50) == p[-50:]
