@@ -47,7 +47,8 @@ def op6_histogram_topk(spark, sf_dir):
 
 
 def op7_viterbi_chat(spark, sf_dir):
-    return transcripts.format_transcripts(transcripts.plain_transcripts(table(spark, sf_dir, "conversations")), "conv_id")
+    turns = table(spark, sf_dir, "conversations")
+    return transcripts.format_transcripts(transcripts.plain_transcripts(turns), "conv_id", model=transcripts.train(turns), truth="true_lines")
 
 
 def op8_best_fit_shards(spark, sf_dir):
