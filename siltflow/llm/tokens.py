@@ -9,7 +9,7 @@ import json
 import unicodedata
 from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property
-from itertools import accumulate
+from itertools import accumulate, islice
 
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -209,7 +209,8 @@ class PrefixTable:
 
     def __init__(self, counter: PrefixCounter, text: str):
         self.counter, self.text = counter, text
-        self.counts = [0, *accumulate(map(counter.count, counter.words(text)))]
+        words, known = counter.words(text), counter.known.get
+        self.counts = [0, *accumulate([known(w) or counter.count(w) for w in words])]
 
     @property
     def total(self) -> int:
@@ -224,22 +225,27 @@ class PrefixTable:
     def ends(self) -> list[int]:
         return [b for _, b in self.spans]
 
-    def at(self, p: int) -> int:
-        i = bisect.bisect_left(self.ends, p + 1)  # words that end by p
-        if i == len(self.spans) or self.spans[i][0] >= p:
+    def _within(self, i: int, span: tuple[int, int], before: tuple[int, int] | None, p: int) -> int:
+        """The count of text[:p], where p lies in word i at `span`, which comes after the word at `before`."""
+        special, (a, b) = self.counter.special.fullmatch, span
+        if p <= a:
             return self.counts[i]
-        a, b = self.spans[i]
-        if i and self.ends[i - 1] == a and self.counter.special.fullmatch(self.text, a, b) and not self.counter.special.fullmatch(self.text, *self.spans[i - 1]):
-            i, a = i - 1, self.spans[i - 1][0]  # part of a special token is text like that before it
+        if before and before[1] == a and special(self.text, a, b) and not special(self.text, *before):
+            i, a = i - 1, before[0]  # part of a special token is text like that before it
         return self.counts[i] + sum(map(self.counter.count, self.counter.words(self.text[a:p])))
 
+    def at(self, p: int) -> int:
+        i = bisect.bisect_left(self.ends, p + 1)  # words that end by p
+        return self.counts[i] if i == len(self.spans) else self._within(i, self.spans[i], self.spans[i - 1] if i else None, p)
+
     def longest(self, budget: int) -> int:
-        """The largest p with at(q) <= budget for every whole word before p, and at(p) <= budget."""
+        """The largest p with at(q) <= budget for every whole word before p, and at(p) <= budget. Reads the text up to there."""
         i = bisect.bisect_right(self.counts, budget) - 1
-        if i >= len(self.spans):
+        if i >= len(self.counts) - 1:
             return len(self.text)
-        a, b = self.spans[i]
-        return max((p for p in range(a, b) if self.at(p) <= budget), default=a)
+        near = [m.span() for m in islice(self.counter.parts.finditer(self.text), max(0, i - 1), i + 1)]
+        a, b = near[-1]
+        return max((p for p in range(a, b) if self._within(i, near[-1], near[0] if i else None, p) <= budget), default=a)
 
 
 def _printable_bytes() -> dict[int, str]:
