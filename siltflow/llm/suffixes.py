@@ -334,26 +334,36 @@ def _thinned(raw: np.ndarray, length: int) -> tuple[list[np.ndarray], list[tuple
     return [x[~third] for x in (h, a, b, q)], known
 
 
+def _digests(raw: bytes, a: np.ndarray, b: np.ndarray, length: int) -> list[bytes]:
+    """128 bits of each fragment: the bytes of all strings that start in [a, b)."""
+    whole = memoryview(raw)
+    return [hashlib.blake2b(whole[i:j], digest_size=16).digest() for i, j in zip(a.tolist(), (b - 1 + length).tolist(), strict=True)]
+
+
 def _find_anchors(named: DataFrame, length: int) -> DataFrame:
-    """(h, d, k, a, b, q) of the anchors; rows without h hold spans [a, b) that are known to repeat."""
-    names = ["h", "d", "k", "a", "b", "q"]
+    """(h, d, k, a, b, q, f, g) of the anchors, f and g the fragment's digest; rows without h hold spans [a, b) that are known to
+    repeat."""
+    names = ["h", "d", "k", "a", "b", "q", "f", "g"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                both = [_thinned(np.frombuffer(t.encode(), np.uint8), length) for t in part.column("text").to_pylist()]
+                texts = [t.encode() for t in part.column("text").to_pylist()]
+                both = [_thinned(np.frombuffer(t, np.uint8), length) for t in texts]
                 dk = [part.column(c).to_numpy() for c in ("d", "k")]
                 h, a, b, q = (np.concatenate(c) for c in zip(*(x for x, _ in both), strict=True))
                 d, k = (np.repeat(x, [len(y[0]) for y, _ in both]) for x in dk)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h.view(np.int64), d, k, a, b, q)], names)
+                whole = b"".join(y for t, (x, _) in zip(texts, both, strict=True) for y in _digests(t, x[1], x[2], length))
+                f, g = np.frombuffer(whole, np.int64).reshape(-1, 2).T
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in (h.view(np.int64), d, k, a, b, q, f, g)], names)
                 n = [len(x) for _, x in both]
                 if any(n):
                     at = np.array([x for _, y in both for x in y], np.int64)
                     none = pa.nulls(len(at), pa.int64())
-                    yield pa.RecordBatch.from_arrays([none, *(pa.array(np.repeat(x, n)) for x in dk), pa.array(at[:, 0]), pa.array(at[:, 1]), none], names)
+                    yield pa.RecordBatch.from_arrays([none, *(pa.array(np.repeat(x, n)) for x in dk), pa.array(at[:, 0]), pa.array(at[:, 1]), none, none, none], names)
 
-    return named.select("d", "k", "text").mapInArrow(run, "h long, d long, k long, a long, b long, q long")
+    return named.select("d", "k", "text").mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
 def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -363,7 +373,12 @@ def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     found = stored(_find_anchors(named, length))
     anchored = found.where("h IS NOT NULL")
     shared = anchored.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    live = anchored.join(shared, "h").groupBy("d", "k").agg(F.collect_set(F.struct("h", "a", "b", "q")).alias("at"))
+    live = stored(anchored.join(shared, "h"))
+    # a fragment that occurs more than once repeats as a whole: its copies need no search, and one of them stands for all in the others'
+    same = stored(live.groupBy("h", "f", "g").agg(F.count("*").alias("n"), F.min(F.struct("d", "k", "a", "b", "q")).alias("at")))
+    copies = live.join(same.where("n > 1").select("h", "f", "g"), ["h", "f", "g"], "left_semi")
+    several = same.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    live = same.join(several, "h").select("h", "at.*").groupBy("d", "k").agg(F.collect_set(F.struct("h", "a", "b", "q")).alias("at"))
 
     def fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -399,6 +414,7 @@ def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     # one shard per partition: all that an anchor's hash names is in one
     hits = cutout.repartition(n, "h").mapInArrow(sorted_out, "d long, k long, s long, e long")
     hits = hits.unionByName(found.where("h IS NULL").select("d", "k", F.col("a").alias("s"), F.col("b").alias("e")))
+    hits = hits.unionByName(copies.select("d", "k", F.col("a").alias("s"), (F.col("b") - 1 + length).alias("e")))
     return hits.groupBy("d", "k").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
 
 
@@ -422,7 +438,8 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """Per document what is left without the bytes that lie in a string of `length` bytes which also starts anywhere else.
 
     Texts are cut at anchors that depend on the bytes around them alone, so that equal strings are anchored alike. Anchors that
-    occur once are dropped; the fragments around the others are dealt by the anchor's hash into shards. A shard queues its
+    occur once are dropped. Of equal fragments (by 128-bit digests) all are taken out and one goes on, so that a group of copies
+    is counted before it is dealt; the different fragments around an anchor are dealt by its hash into shards. A shard queues its
     suffixes on disk, in order of the text from the anchor on, and induces the order of the suffixes before the anchors byte by
     byte with their common prefixes. A shard's memory is bounded by the queue and two blocks of elements; a group as large as a
     block goes through files from step to step.

@@ -117,3 +117,18 @@ def test_memory_of_a_large_group_is_bounded():
         return most
 
     assert peak(8000) < 1.3 * peak(2000)
+
+
+def test_copies_of_a_fragment_are_searched_once(spark):
+    r = random.Random(9)
+    core = "".join(r.choices("abcdef gh", k=1500))
+    tx = [core] * 60 + [core[:700] + "".join(r.choices("xyz", k=50)) + core[700:], "zz" + core[200:900], "".join(r.choices("pq rs", k=900))]
+    df = spark.createDataFrame(list(enumerate(tx)), "doc_id long, text string").repartition(6)
+    got = sorted(map(tuple, S.dedup(df).collect()))
+    assert got == [(i, *x) for i, x in enumerate(brute([t.encode() for t in tx], 400))]
+
+
+def test_digests_are_of_the_whole_fragment():
+    a, b = np.array([0, 3]), np.array([3, 5])
+    raw = b"abcabcabc"
+    assert S._digests(raw, a, b, 4) == [hashlib.blake2b(x, digest_size=16).digest() for x in (raw[0:6], raw[3:8])]
