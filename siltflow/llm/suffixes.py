@@ -479,6 +479,7 @@ def strip_repeats(docs: DataFrame, length: int = PASSAGE) -> DataFrame:
     def rest(text, found):
         return None if found is None else without(text.encode(), merged(found)).decode("utf-8", "ignore")
 
+    rest = rest.asNondeterministic()  # it isn't, but is run twice otherwise, for the filter and for the column
     d, k, at, left = own_names(docs, "d", "k", "at", "left")
     named = docs.withColumns({d: F.coalesce("doc_id", F.lit(0)).cast("long"), k: F.xxhash64(text_or_empty(), F.col("doc_id").isNull())})
     s = spans(docs, length).select(F.col("d").alias(d), F.col("k").alias(k), F.col("spans").alias(at))
