@@ -16,8 +16,9 @@ from .components import components
 
 #: Cells of the frequency sketch that orders the n-grams; one megabyte is broadcast, whatever the corpus.
 CELL_BITS = 18
-#: Postings of a bucket by expectation; members of a posting list whose pairs are listed there and then.
-BUCKET, SMALL = 250_000, 4
+#: Postings of a bucket by expectation, and postings that a task gathers before it deals them to the buckets: they set what a
+#: worker holds. Members of a posting list whose pairs are listed there and then.
+BUCKET, GATHERED, SMALL = 100_000, 200_000, 4
 #: Longs of a set's parity bitmap.
 LONGS = 16
 #: Members of a posting list and size class that may be hubs there; hubs that a set is tried with first.
@@ -185,7 +186,7 @@ def _postings(docs: DataFrame, k: int, pct: int, rank: np.ndarray, buckets: int)
                 x["u"], x["v"] = np.bitwise_xor.reduce(parity(g).view(np.uint64).reshape(-1, 2))
                 held.append(x)
                 size += len(x)
-                if size > 500_000:
+                if size > GATHERED:
                     yield flush()
                     held, size = [], 0
         if held:
