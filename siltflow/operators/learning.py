@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.ml import Pipeline
 from pyspark.ml import classification as C
@@ -82,6 +83,12 @@ def fit_predict(estimator, train: DataFrame, test: DataFrame, keys: list[str]) -
     return estimator.fit(train).transform(test).select(*keys, "prediction")
 
 
+def held_out_predictions(make: Callable, df: DataFrame, key: str, keys: list[str], folds: int = 3) -> DataFrame:
+    """A prediction for every row of df, by a model fitted to the folds that the row isn't in; key's hash deals the rows."""
+    fold = F.pmod(F.xxhash64(key), F.lit(folds))
+    return reduce(DataFrame.unionByName, [fit_predict(make(), df.where(fold != k), df.where(fold == k), keys) for k in range(folds)])
+
+
 def apply_step(stages: list, df: DataFrame, keys: list[str]) -> DataFrame:
     out = Pipeline(stages=stages).fit(df).transform(df)
     return out.select(*keys, F.col("out").cast("string").alias("out"))
