@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltflow.operators.lineage import cut
+
 
 def top_counts(df: DataFrame, key: str, n: int, name: str = "n") -> DataFrame:
     """The n most frequent keys, ties to the smaller key; each task keeps only its n best for the merge."""
@@ -41,8 +43,9 @@ def chunks(df: DataFrame, n: int, seed: int, *keys: str) -> DataFrame:
 
 
 def with_index(df: DataFrame, *order: str) -> DataFrame:
-    """Row numbers from 0 in a total order, numbered within ranges and offset by the ranges' sizes, so that no task sees all rows."""
-    ranged = df.repartitionByRange(*[F.col(c) for c in order]).withColumn("_part", F.spark_partition_id())
+    """Row numbers from 0 in a total order, numbered within ranges and offset by the ranges' sizes, so that no task sees all rows.
+    The ranges are written once: planned twice, for the rows and for the sizes, they would have other limits."""
+    ranged = cut(df.repartitionByRange(*[F.col(c) for c in order]).withColumn("_part", F.spark_partition_id()))
     ranged = ranged.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1)
     sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_base", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")

@@ -278,3 +278,17 @@ def test_run_merges_close_side_clusters(spark, monkeypatch):
     out, report = clustering.run(spark.createDataFrame(list(pts.items()), "id long, v array<double>"), 2, 2, rounds=2)
     assert [(x["cs_clusters"], x["cs_points"]) for x in report.orderBy("round").collect()] == [(0, 0), (1, 80)]
     assert {x["id"]: x["cluster"] for x in out.where("cluster LIKE 'c%'").collect()} == dict.fromkeys(second[:80], "c2010")
+
+
+def test_index_over_many_ranges(spark):
+    small = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100k", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
+    old = {k: spark.conf.get(k) for k in small}
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        df = spark.range(60_000).select(F.xxhash64("id").alias("k"), "id", F.sha2(F.col("id").cast("string"), 512).alias("wide"))
+        got = [r["index"] for r in sorted(analytics.with_index(df, "k", "id").collect(), key=lambda r: (r["k"], r["id"]))]
+        assert got == list(range(60_000))
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
