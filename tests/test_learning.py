@@ -30,3 +30,9 @@ def test_model_quality_judges_every_vector_once(spark, monkeypatch):
     assert sorted(judged) == sorted(ids * 3)
     # one answer for all rows is no better than the largest class's share
     assert [r["better_than_chance"] for r in got] == [False] * 3
+
+
+def test_selector_where_p_values_are_zero(spark, tmp_path):
+    spark.range(120_000).select(F.col("id").alias("p_partkey"), (F.col("id") % 50 + 1).cast("int").alias("p_size")).write.parquet(f"{tmp_path}/part.parquet")
+    got = registry.QUERIES["ml_selector"](spark, str(tmp_path))
+    assert got.where(F.col("kept") != (F.col("p_partkey") + 1) % 2).isEmpty() and got.count() == 120_000
