@@ -15,7 +15,7 @@ def test_pairs_of_a_key(spark):
     sets = [range(120), range(0, 60, 7), [3], range(50, 90, 3)]
     df = spark.createDataFrame([(k, m) for k, s in enumerate(sets) for m in s], "key long, m long")
     for per_task in (10**6, 700, 40):
-        got, n = spread.pairs_within(df, "key", "m", per_task)
+        got, n = spread.pairs_within(df, "key", "m", per_task=per_task)
         assert sorted(map(tuple, got.collect())) == shared(sets)
         assert n == spread.parts(sum(len(s) ** 2 for s in sets) / 2, per_task)
     assert spread.pairs_within(df.limit(0), "key", "m")[0].collect() == []
@@ -24,7 +24,7 @@ def test_pairs_of_a_key(spark):
 def test_a_task_makes_as_many_pairs_in_a_larger_table(spark):
     def largest(copies):
         df = spark.range(copies * 200).select((F.col("id") % (copies * 10)).alias("key"), F.col("id").alias("m"))
-        got, n = spread.pairs_within(df, "key", "m", 500)
+        got, n = spread.pairs_within(df, "key", "m", per_task=500)
         most = got.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
         return most, n
 
@@ -35,3 +35,17 @@ def test_a_task_makes_as_many_pairs_in_a_larger_table(spark):
 def test_common_items(spark):
     got = graph.co_interaction(spark.createDataFrame([(u, i) for u in (1, 2, 3) for i in range(u, 6)] + [(1, 3), (None, 3), (4, None)], "u long, i long"), "u", "i", 3)
     assert sorted(map(tuple, got.collect())) == [(1, 2, 4), (1, 3, 3), (2, 3, 3)]
+
+
+def test_pearson_over_cut_lists(spark, monkeypatch):
+    """Users with more pairs than a task makes; asked pairs in both orders, of an item with itself, and without a common user."""
+    from siltflow.operators import recommend
+
+    ratings = spark.createDataFrame([(u, i, float((u * 7 + i * i * 3) % 50) / 10) for u in range(6) for i in range(40) if (u + i) % 4], "user long, item long, rating double")
+    pairs = spark.createDataFrame([(3, 5), (5, 3), (7, 7), (1, 39), (0, 4)], "i long, j long")
+    whole, some = [sorted(map(tuple, recommend.item_similarity(ratings, p).collect())) for p in (None, pairs)]
+    monkeypatch.setattr(recommend, "PER_TASK", 40)
+    assert whole == sorted(map(tuple, recommend.item_similarity(ratings).collect()))
+    assert some == sorted(map(tuple, recommend.item_similarity(ratings, pairs).collect()))
+    assert [r[:2] for r in some] == [(0, 4), (1, 39), (3, 5), (7, 7)] and some[3][2] == 1.0
+    assert {r[:2]: r[2] for r in whole}[3, 5] == some[2][2]
