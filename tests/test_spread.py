@@ -74,3 +74,22 @@ def test_first_orders_without_a_sort(spark):
     df = registry.QUERIES["drop_duplicates"](spark, "/root/testdata/sf0.001")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "Sort" not in plan
+
+
+def test_equal_sets_are_compared_once(spark, monkeypatch):
+    from siltflow.operators import similarity
+
+    sets = {i: range(i // 10 * 3, i // 10 * 3 + 12) for i in range(40)} | {50: [900], 51: [900]}
+    df = spark.createDataFrame([(i, t) for i, s in sets.items() for t in s], "item long, token long")
+    compared = []
+    verify = similarity.verify
+    monkeypatch.setattr(similarity, "verify", lambda p, *a: compared.append(p.count()) or verify(p, *a))
+    sim = {(a, b): len(set(x) & set(y)) / len(set(x) | set(y)) for a, x in sets.items() for b, y in sets.items() if a < b}
+    want = sorted((*p, v) for p, v in sim.items() if v >= 0.5)
+    assert sorted(map(tuple, similarity.jaccard_join(df, 0.5).collect())) == want and len(want) == 481
+    assert set(map(tuple, similarity.lsh_join(df, F.col("token")).collect())) <= set(want)
+    assert max(compared) <= 6
+    sig = similarity.minhash(df, F.col("token"))
+    found = {(r["a"], r["b"]) for r in similarity.candidates(sig).collect()}
+    signs = {r["item"]: r["sig"] for r in sig.collect()}
+    assert found == {(a, b) for a in signs for b in signs if a < b and any(signs[a][k : k + 2] == signs[b][k : k + 2] for k in range(0, 60, 2))}
